@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, urls
+from . import chat, mixing, neardup, urls
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_pareto_mix": mixing.op1_pareto_mix,
         "op5_host_reputation": urls.op5_host_reputation,
         "op6_snapshot_collapse": chat.op6_snapshot_collapse,
+        "op10_lsh_forest": neardup.op10_lsh_forest,
     }
 
 
@@ -18,4 +19,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_pareto_mix": mixing.OP1_SQL,
         "op5_host_reputation": urls.OP5_SQL,
         "op6_snapshot_collapse": chat.OP6_SQL,
+        "op10_lsh_forest": neardup.OP10_SQL,
     }
