@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, neardup, urls
+from . import chat, mixing, neardup, tokens, urls
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_pareto_mix": mixing.op1_pareto_mix,
         "op5_host_reputation": urls.op5_host_reputation,
         "op6_snapshot_collapse": chat.op6_snapshot_collapse,
+        "op9_context_mixing_blocks": tokens.op9_context_mixing_blocks,
         "op10_lsh_forest": neardup.op10_lsh_forest,
     }
 
