@@ -7,7 +7,8 @@ region all pairs are candidates, in a crowded one the depth adapts: sorted neigh
 and the region's hub, the node whose full labels coincide with most others over all trees, as the base text of a
 group of edited copies does. So candidates grow with the number of texts, never with the square of a group.
 
-Candidates are confirmed on the full sets. Hub links come first; a neighbour pair is looked at only if its ends
+A neighbour pair whose minimum hashes agree too rarely for the wanted similarity, by over 4.5 standard deviations, is
+let go; four bits of each hash, the sketch, are enough to see that. Other candidates are confirmed on the full sets. Hub links come first; a neighbour pair is looked at only if its ends
 are still in different components.
 """
 
@@ -21,18 +22,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._common import materialize, table
+from ._common import materialize, small, table
 from .components import connected_components
 
 TREES, DEPTH, ROOT = 16, 6, 3
 #: Regions up to this size have all pairs as candidates.
 SMALL = 8
+#: A pair that is similar enough has agreeing sketches but for so many standard deviations.
+DEVIATIONS = 4.5
+#: Ids whose texts are asked for that may be broadcast; more are joined by a shuffle.
+ASKED = 1_000_000
 #: Links of one hub that go to a task of their own.
 HUB_PART = 500
 
 
 def signatures(docs: DataFrame, k: int = 5) -> DataFrame:
-    """(doc_id, text) -> doc_id, n_shingles, two digests of the set, and the minimum hashes as bytes (null for an empty set)."""
+    """(doc_id, text) -> doc_id, n_shingles, two digests of the set, and the minimum hashes and their sketch as bytes (null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, (2, TREES * DEPTH), dtype=np.uint64)
@@ -44,6 +49,7 @@ def signatures(docs: DataFrame, k: int = 5) -> DataFrame:
                 full = np.flatnonzero(size)
                 digest = np.zeros((2, len(sets)), np.uint64)
                 labels: list[bytes | None] = [None] * len(sets)
+                sketches: list[bytes | None] = [None] * len(sets)
                 if len(full):
                     every = np.concatenate([sets[i] for i in full])
                     starts = np.concatenate([[0], np.cumsum(size[full])[:-1]])
@@ -52,44 +58,59 @@ def signatures(docs: DataFrame, k: int = 5) -> DataFrame:
                         least[:, j] = np.minimum.reduceat((every * seeds[0, j] + seeds[1, j]) >> np.uint64(32), starts)
                     for j in range(2):
                         digest[j, full] = np.add.reduceat(T.mix(every ^ T.MULTIPLIERS[j]), starts)
+                    low = (least & 15).astype(np.uint8)
+                    low = low[:, ::2] << 4 | low[:, 1::2]
                     for row, i in enumerate(full):
-                        labels[i] = least[row].tobytes()
+                        labels[i], sketches[i] = least[row].tobytes(), low[row].tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(size), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)), pa.array(labels, pa.binary())],
-                    ["doc_id", "n_shingles", "d1", "d2", "label"],
+                    [part.column(0), pa.array(size), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)), pa.array(labels, pa.binary()), pa.array(sketches, pa.binary())],
+                    ["doc_id", "n_shingles", "d1", "d2", "label", "sketch"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, label binary")
-
-
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (tree, label, id, n) -> candidate pairs of rows near each other in a region."""
-    width, root = 4 * DEPTH, 4 * ROOT
-    kept = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        data, _ = T.utf8(batch.column(1).cast(pa.large_binary()))
-        label = data.reshape(-1, width)
-        now = (batch.column(0).to_numpy(), label[:, :root].copy(), batch.column(2).to_numpy(), batch.column(3).to_numpy())
-        start = 0 if kept is None else len(kept[0])
-        tree, region, ids, n = now if kept is None else tuple(np.concatenate([a, b]) for a, b in zip(kept, now, strict=True))
-        same = lambda w: (tree[w:] == tree[:-w]) & (region[w:] == region[:-w]).all(1)
-        crowded = np.zeros(len(ids), bool)
-        if len(ids) > SMALL:
-            crowded[SMALL:] = same(SMALL)
-        found = []
-        for w in range(1, min(SMALL, len(ids))):
-            second = np.arange(w, len(ids))
-            ok = same(w) & (second >= start) & (ids[w:] != ids[:-w])
-            if w > 2:
-                ok &= ~crowded[w:]
-            second = second[ok]
-            found.append(np.stack([ids[second - w], ids[second], n[second - w], n[second]]))
-        kept = (tree[-SMALL:], region[-SMALL:], ids[-SMALL:], n[-SMALL:])
-        if found:
-            a, b, na, nb = np.concatenate(found, 1)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.maximum(a, b), np.minimum(a, b), na, nb)], ["a", "b", "na", "nb"])
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, label binary, sketch binary")
+
+
+def least_agreement(percent: int) -> int:
+    """How many of the sketches' parts agree at least in a pair that is similar enough, but for DEVIATIONS."""
+    n, share = TREES * DEPTH, percent / 100 + (1 - percent / 100) / 16
+    return int(n * share - DEVIATIONS * (n * share * (1 - share)) ** 0.5)
+
+
+def _neighbours(percent: int):
+    """Sorted (tree, label, id, n, sketch) -> candidate pairs of rows near each other in a region."""
+    width, root, least = 4 * DEPTH, 4 * ROOT, least_agreement(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            label = T.utf8(batch.column(1).cast(pa.large_binary()))[0].reshape(-1, width)
+            sketch = T.utf8(batch.column(4).cast(pa.large_binary()))[0].reshape(-1, TREES * DEPTH // 2)
+            now = (batch.column(0).to_numpy(), label[:, :root].copy(), batch.column(2).to_numpy(), batch.column(3).to_numpy(), sketch)
+            start = 0 if kept is None else len(kept[0])
+            tree, region, ids, n, sketch = now if kept is None else tuple(np.concatenate([a, b]) for a, b in zip(kept, now, strict=True))
+            same = lambda w: (tree[w:] == tree[:-w]) & (region[w:] == region[:-w]).all(1)  # noqa: E731, B023
+            crowded = np.zeros(len(ids), bool)
+            if len(ids) > SMALL:
+                crowded[SMALL:] = same(SMALL)
+            found = []
+            for w in range(1, min(SMALL, len(ids))):
+                second = np.arange(w, len(ids))
+                ok = same(w) & (second >= start) & (ids[w:] != ids[:-w])
+                if w > 2:
+                    ok &= ~crowded[w:]
+                second = second[ok]
+                differ = sketch[second] ^ sketch[second - w]
+                agree = ((differ & 15) == 0).sum(1) + ((differ >> 4) == 0).sum(1)
+                second = second[agree >= least]
+                found.append(np.stack([ids[second - w], ids[second], n[second - w], n[second]]))
+            kept = tuple(x[-SMALL:].copy() for x in (tree, region, ids, n, sketch))
+            if found:
+                a, b, na, nb = np.concatenate(found, 1)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.maximum(a, b), np.minimum(a, b), na, nb)], ["a", "b", "na", "nb"])
+
+    return run
 
 
 def _fit(percent: int):
@@ -98,9 +119,9 @@ def _fit(percent: int):
 
 
 def candidates(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(id, n, label) -> (hub pairs, neighbour pairs) as (a, b), each pair once."""
+    """(id, n, label, sketch) -> (hub pairs, neighbour pairs) as (a, b), each pair once."""
     trees = F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.substring("label", 4 * DEPTH * t + 1, 4 * DEPTH).alias("label")) for t in range(TREES)])).alias("t")
-    rows = nodes.select("id", "n", trees).select("id", "n", "t.tree", "t.label", F.substring("t.label", 1, 4 * ROOT).alias("region"))
+    rows = nodes.select("id", "n", "sketch", trees).select("id", "n", "sketch", "t.tree", "t.label", F.substring("t.label", 1, 4 * ROOT).alias("region"))
     shared = rows.groupBy("tree", "region").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     rows = materialize(rows.join(shared, ["tree", "region"]), "forest")
     crowd = rows.where(F.col("size") > SMALL)
@@ -111,8 +132,8 @@ def candidates(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     pairs = crowd.select("tree", "region", F.col("id").alias("a"), F.col("n").alias("na")).join(hubs, ["tree", "region"])
     pairs = pairs.select("a", F.col("hub.id").alias("b"), "na", F.col("hub.n").alias("nb")).where("a <> b").where(_fit(percent)).select("a", "b").distinct()
     parts = max(1, rows.rdd.getNumPartitions(), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    spread = rows.select("tree", "label", "id", "n").repartitionByRange(parts, "tree", "label", "id").sortWithinPartitions("tree", "label", "id")
-    near = spread.mapInArrow(_neighbours, "a long, b long, na long, nb long").where(_fit(percent)).select("a", "b").distinct()
+    spread = rows.select("tree", "label", "id", "n", "sketch").repartitionByRange(parts, "tree", "label", "id").sortWithinPartitions("tree", "label", "id")
+    near = spread.mapInArrow(_neighbours(percent), "a long, b long, na long, nb long").where(_fit(percent)).select("a", "b").distinct()
     return materialize(pairs, "hub-pairs"), materialize(near, "near-pairs")
 
 
@@ -150,11 +171,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame
     made = materialize(signatures(docs, k), "signatures")
     named = made.where("n_shingles > 0 and doc_id is not null")
     first = materialize(named.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("id")), "sets")
-    nodes = named.select(F.col("doc_id").alias("id"), "d1", "d2", F.col("n_shingles").alias("n"), "label").join(first.select("id", "d1", "d2"), ["id", "d1", "d2"]).dropDuplicates(["id", "d1", "d2"])
-    hubs, near = candidates(nodes.select("id", "n", "label"), percent)
+    nodes = named.select(F.col("doc_id").alias("id"), "d1", "d2", F.col("n_shingles").alias("n"), "label", "sketch").join(first.select("id", "d1", "d2"), ["id", "d1", "d2"]).dropDuplicates(["id", "d1", "d2"])
+    hubs, near = candidates(nodes.select("id", "n", "label", "sketch"), percent)
     pairs = hubs.unionByName(near)
     asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(asked, "id").dropDuplicates(["id"])
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(small(materialize(asked, "asked"), ASKED), "id").dropDuplicates(["id"])
     texts = materialize(texts, "texts")
     links = connected_components(confirm(hubs, texts, percent, k))
     at = lambda c: links.select(F.col("id").alias(c), F.col("component_id").alias("c" + c))
