@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, neardup, repeats, tokens, urls
+from . import chat, mixing, neardup, quality, repeats, tokens, urls
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_bucket_refinement": repeats.op3_bucket_refinement,
         "op5_host_reputation": urls.op5_host_reputation,
         "op6_snapshot_collapse": chat.op6_snapshot_collapse,
+        "op7_kneser_ney": quality.op7_kneser_ney,
         "op9_context_mixing_blocks": tokens.op9_context_mixing_blocks,
         "op10_lsh_forest": neardup.op10_lsh_forest,
     }
