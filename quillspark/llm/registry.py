@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, neardup, quality, repeats, tokens, urls
+from . import chat, decontaminate, mixing, neardup, quality, repeats, tokens, urls
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op5_host_reputation": urls.op5_host_reputation,
         "op6_snapshot_collapse": chat.op6_snapshot_collapse,
         "op7_kneser_ney": quality.op7_kneser_ney,
+        "op8_block_max_wand": decontaminate.op8_block_max_wand,
         "op9_context_mixing_blocks": tokens.op9_context_mixing_blocks,
         "op10_lsh_forest": neardup.op10_lsh_forest,
     }
