@@ -9,12 +9,15 @@ without talking, and the refinement is kept sparse:
    a text is a short list of segments: maximal runs of windows with one bucket.
 2. A bucket with one segment in the whole table is done. A bucket with more is refined by the id of the whole segment,
    the string its windows cover: segments with equal ids repeat in full.
-3. Only in a bucket of unlike segments (where copies begin, end or were edited) is refinement carried down to single
-   windows, whose ids are derived from the same running hashes; a string that many segments share counts once per
-   distinct segment.
-
-All counts are aggregated before the shuffle, then joined back, where Spark splits skewed keys; no bucket is ever
-collected. A q-gram that comes twice inside a segment (periodic text) sends that segment to step 3 as well.
+3. In a bucket of unlike segments (where copies begin, end or were edited) the windows are cut into blocks of BLOCK,
+   counted from the q-gram, so that equal windows stand in equal blocks. The string that all windows of a block share
+   is the next bucket, the string they cover the next id, and step 2 is applied again: a block whose shared string
+   comes once is done, and so are blocks with equal ids.
+4. What is left, a few blocks at each edge, is carried down to single windows.
+
+A content that many segments have goes down once. All counts are aggregated before the shuffle, then joined back, where Spark
+splits skewed keys; no bucket is ever collected. A q-gram that comes twice inside a segment (periodic text) gives no
+place to count blocks from; such buckets go straight to step 4.
 """
 
 from __future__ import annotations
@@ -28,9 +31,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._common import materialize, table
+from ._common import materialize, small, table
 
-LENGTH, Q = 200, 48
+LENGTH, Q, BLOCK = 200, 48, 16
+#: Texts asked for whose keys may be broadcast; more are joined by a shuffle.
+ASKED = 500_000
 _FAR = np.uint64(2**64 - 1)
 
 
@@ -49,14 +54,14 @@ def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, q: int = Q) -> tuple[np.ndarray, ...]:
-    """(row, first window, last window, bucket, id, again) of the segments of all rows; windows are counted in their row.
+    """(row, first window, last window, place of the q-gram, bucket, id, again) of the segments of all rows; windows are counted in their row.
 
     ``again``: the bucket's q-gram comes more than once in the segment.
     """
     windows = np.maximum(np.diff(offsets) - length + 1, 0)
     none = np.zeros(0, np.int64)
     if not windows.any():
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(bool)
+        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(bool)
     sums = T.prefix_sums(data)
     at = np.arange(len(data) - q + 1)
     grams = T.span_hash(sums, at, at + q)
@@ -79,33 +84,39 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, q: int
     bucket = least[first]
     view = np.lib.stride_tricks.sliding_window_view(grams, width)
     again = np.empty(len(first), bool)
+    place = np.empty(len(first), np.int64)
     for a in range(0, len(first), 8192):
         part = slice(a, a + 8192)
         left = (view[first[part]] == bucket[part, None]).argmax(1) + first[part]
         right = width - 1 - (view[last[part]] == bucket[part, None])[:, ::-1].argmax(1) + last[part]
-        again[part] = left != right
-    return row, first - offsets[row], last - offsets[row], bucket, T.span_hash(sums, first, last + length), again
+        again[part], place[part] = left != right, left
+    return row, first - offsets[row], last - offsets[row], place - offsets[row], bucket, T.span_hash(sums, first, last + length), again
+
+
+RUN = "did long, th int, bucket long, id long, first int, last int, place int, again boolean, own boolean"
 
 
-SEGMENT = "did long, th int, bucket long, id long, first int, last int, again boolean"
+def _runs(part: pa.RecordBatch, row, bucket, ids, first, last, place, again, own) -> pa.RecordBatch:
+    take = pa.array(row)
+    columns = [part.column(0).take(take), part.column(1).take(take), pa.array(bucket.view(np.int64)), pa.array(ids.view(np.int64))]
+    columns += [pa.array(x.astype(np.int32)) for x in (first, last, place)] + [pa.array(again), pa.array(own)]
+    return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in RUN.split(", ")])
 
 
 def _segments(length: int, q: int):
+    """(did, th, text) -> the segments of each text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in T.pieces(batch, "text"):
-                row, first, last, bucket, ids, again = segments(*T.utf8(part.column(2)), length, q)
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(take), part.column(1).take(take), pa.array(bucket.view(np.int64)), pa.array(ids.view(np.int64)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(again)],
-                    ["did", "th", "bucket", "id", "first", "last", "again"],
-                )
+                row, first, last, place, bucket, ids, again = segments(*T.utf8(part.column(2)), length, q)
+                yield _runs(part, row, bucket, ids, first, last, place, again, np.ones(len(row), bool))
 
     return run
 
 
-def _windows(length: int):
-    """(did, th, text, parts [first, last, own]) -> id and position of every window of the parts."""
+def _finer(length: int, block: int):
+    """(did, th, text, parts) -> the parts cut into blocks of windows, by what they share and what they cover; at 1 into windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,36 +126,57 @@ def _windows(length: int):
                 lists = part.column(3)
                 owner = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
                 flat = lists.flatten()
-                first, last, own = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-                size = (last - first + 1).astype(np.int64)
-                place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)
-                rows = np.repeat(owner, size)
-                start = place + offsets[rows]
-                take = pa.array(rows)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(T.span_hash(sums, start, start + length).view(np.int64)), part.column(0).take(take), part.column(1).take(take), pa.array(place.astype(np.int32)), pa.array(np.repeat(own, size))],
-                    ["id", "did", "th", "place", "own"],
-                )
+                first, last, place, own = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+                first, last, place = (x.astype(np.int64) for x in (first, last, place))
+                low = (first - place) // block
+                n = (last - place) // block - low + 1
+                at = np.repeat(np.arange(len(n)), n)
+                k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + low[at]
+                place, rows = place[at], owner[at]
+                start, end = np.maximum(first[at], place + k * block), np.minimum(last[at], place + k * block + block - 1)
+                base = offsets[rows]
+                covered = T.mix(T.span_hash(sums, base + start, base + end + length) + (start - place).view(np.uint64) * T.MULTIPLIERS[8] * np.uint64(block > 1))
+                shared = T.mix(T.span_hash(sums, base + place + k * block + block - 1, base + place + k * block + length) + k.view(np.uint64) * T.MULTIPLIERS[9]) if block > 1 else covered
+                yield _runs(part, rows, shared, covered, start, end, place, np.zeros(len(rows), bool), own[at])
 
     return run
 
 
+def _refine(runs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Runs with bucket and id -> (runs that repeat in full, contents to refine further).
+
+    A bucket of one run is done. Equal ids in a bucket repeat; of each content in a bucket of unlike ones, one run goes on
+    (``own``: its result is wanted, as no equal one has been found for it).
+    """
+    counted = runs.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high"), F.max("again").alias("again"))
+    counted = counted.where("n > 1 or again").select("bucket", ((F.col("low") != F.col("high")) | F.col("again")).alias("unlike"), F.col("again").alias("periodic"))
+    hits = materialize(runs.join(materialize(counted, f"{name}-buckets"), "bucket"), name)
+    one = F.min(F.struct("did", "th", "first", "last", "place")).alias("one")
+    whole = hits.groupBy("bucket", "id").agg(F.count(F.lit(1)).alias("n"), F.max("unlike").alias("unlike"), F.max("periodic").alias("periodic"), F.max("own").alias("own"), one)
+    whole = materialize(whole, f"{name}-contents")
+    full = hits.where("own").join(whole.where("n > 1").select("bucket", "id"), ["bucket", "id"]).select("did", "th", "first", "last")
+    return full, whole.where("unlike").select("one.did", "one.th", "periodic", F.struct("one.first", "one.last", "one.place", (F.col("own") & (F.col("n") == 1)).alias("own")).alias("part"))
+
+
+def _with_texts(texts: DataFrame, parts: DataFrame) -> DataFrame:
+    gathered = parts.groupBy("did", "th").agg(F.collect_list("part").alias("parts"))
+    return texts.join(gathered, ["did", "th"]).select("did", "th", "text", "parts")
+
+
 def removed_spans(data: DataFrame, length: int = LENGTH, q: int = Q) -> DataFrame:
     """(did, th, text) -> (did, th, spans): the windows' starts as runs [first, last], each window covering ``length`` bytes."""
-    rows = data.mapInArrow(_segments(length, q), SEGMENT)
-    counted = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high"), F.max("again").alias("again"))
-    counted = counted.where("n > 1 or again").select("bucket", ((F.col("low") != F.col("high")) | F.col("again")).alias("unlike"))
-    hits = materialize(rows.join(materialize(counted, "buckets"), "bucket"), "segments")
-    whole = hits.groupBy("bucket", "id").agg(F.count(F.lit(1)).alias("n"), F.max("unlike").alias("unlike"), F.min(F.struct("did", "th", "first", "last")).alias("one"))
-    whole = materialize(whole, "contents")
-    full = hits.join(whole.where("n > 1").select("bucket", "id"), ["bucket", "id"]).select("did", "th", "first", "last")
-    parts = whole.where("unlike").select("one.did", "one.th", F.struct("one.first", "one.last", (F.col("n") == 1).alias("own")).alias("part"))
-    parts = materialize(parts.groupBy("did", "th").agg(F.collect_list("part").alias("parts")), "parts")
-    windows = data.join(parts, ["did", "th"]).dropDuplicates(["did", "th"]).select("did", "th", "text", "parts")
-    windows = materialize(windows.mapInArrow(_windows(length), "id long, did long, th int, place int, own boolean"), "windows")
+    full, parts = _refine(data.mapInArrow(_segments(length, q), RUN), "segments")
+    parts = materialize(parts, "parts")
+    asked = materialize(parts.select("did", "th").distinct(), "asked")
+    texts = materialize(data.join(small(asked, ASKED), ["did", "th"]).dropDuplicates(["did", "th"]), "texts")
+    blocks = _with_texts(texts, parts.where("not periodic")).mapInArrow(_finer(length, min(BLOCK, length)), RUN)
+    more, rest = _refine(blocks, "blocks")
+    rest = materialize(rest.unionByName(parts.where("periodic")), "rest")
+    windows = materialize(_with_texts(texts, rest).mapInArrow(_finer(length, 1), RUN).select("did", "th", "id", "first", "own"), "windows")
     shared = windows.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("own")).where("n > 1 and own").select("id")
-    single = windows.where("own").join(shared, "id").select("did", "th", F.col("place").alias("first"), F.col("place").alias("last"))
-    return materialize(full.unionByName(single).groupBy("did", "th").agg(F.collect_list(F.struct("first", "last")).alias("spans")), "spans")
+    single = windows.where("own").join(shared, "id").select("did", "th", "first", F.col("first").alias("last"))
+    spans = full.unionByName(more).unionByName(single)
+    return materialize(spans.groupBy("did", "th").agg(F.collect_list(F.struct("first", "last")).alias("spans")), "spans")
 
 
 def merge_spans(first: np.ndarray, last: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
