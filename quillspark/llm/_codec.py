@@ -30,7 +30,7 @@ RENEW, RECOUNT = 16, 4
 EVENT_BITS, ID_BITS = 12, 18
 _SHIFT = np.uint64(EVENT_BITS + ID_BITS)
 _MASK, _TOP, _BOT = np.uint64((1 << 48) - 1), np.uint64(1 << 32), np.uint64(1 << 30)
-_16, _32 = np.uint64(16), np.uint64(32)
+_16, _32, _ID = np.uint64(16), np.uint64(32), np.uint64(ID_BITS)
 _BINS = 128
 
 
@@ -41,11 +41,13 @@ def _lanes(n: int) -> tuple[int, int]:
 
 
 class Model:
-    """What encoder and decoder share: contexts, predictions, confidences and counts."""
+    """What encoder and decoder share: contexts with their predictions and confidences, and counts.
+
+    A context's entry is 8 times the predicted id plus one, plus the confidence from 1 to 7; 0 is unused.
+    """
 
     def __init__(self, lanes: int, size: int) -> None:
-        self.p1, self.c1 = np.full(size, -1, np.int32), np.zeros(size, np.int8)
-        self.p2, self.c2 = np.full(1 << ORDER2_BITS, -1, np.int32), np.zeros(1 << ORDER2_BITS, np.int8)
+        self.order1, self.order2 = np.zeros(size, np.int32), np.zeros(1 << ORDER2_BITS, np.int32)
         self.last, self.before = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
         self.events = np.ones((_BINS, 3), np.int64)
         self.ids = np.ones(size, np.int64)
@@ -56,17 +58,20 @@ class Model:
         self.renew()
 
     def recount(self) -> None:
-        """Bounds of the events of each bin."""
+        """Start and size of the three events of each bin, at 4 times the bin plus the event."""
         if self.seen:
-            self.events += np.bincount(np.concatenate(self.seen), minlength=3 * _BINS).reshape(_BINS, 3)
+            self.events += np.bincount(np.concatenate(self.seen), minlength=4 * _BINS).reshape(_BINS, 4)[:, :3]
             self.seen = []
             if self.events.max() > 1 << 16:
                 self.events = (self.events >> 1) + 1
         share = 1 + self.events * ((1 << EVENT_BITS) - 3) // self.events.sum(1, keepdims=True)
-        self.event_ends = np.concatenate([np.zeros((_BINS, 1), np.int64), share.cumsum(1)], 1).astype(np.uint64)
+        starts, sizes = np.zeros((_BINS, 4), np.uint64), np.zeros((_BINS, 4), np.uint64)
+        starts[:, 1:] = share.cumsum(1)
+        sizes[:, :3] = share
+        self.event_starts, self.event_sizes = starts.ravel(), sizes.ravel()
 
     def renew(self) -> None:
-        """Bounds of the ids by the order-0 counts, and the id at each place between them."""
+        """Start and size of the ids by the order-0 counts, and the id at each place between them."""
         if self.missed:
             self.ids += 32 * np.bincount(np.concatenate(self.missed), minlength=len(self.ids))
             self.missed = []
@@ -77,18 +82,21 @@ class Model:
         self.id_at = np.repeat(np.arange(len(share), dtype=np.int32), share)
 
     def contexts(self, n: int) -> tuple[np.ndarray, ...]:
-        """For the first n lanes: order-1 and order-2 slots, their predictions and confidences, and the bin of the events."""
+        """For the first n lanes: slots and entries of both orders, their predictions, and 4 times the bin of the events."""
         s1 = self.last[:n]
-        s2 = ((self.before[:n].astype(np.uint32) * np.uint32(0x9E3779B1)) ^ (s1.astype(np.uint32) * np.uint32(0x85EBCA77))) >> np.uint32(32 - ORDER2_BITS)
-        p1, p2, c1, c2 = self.p1[s1], self.p2[s2], self.c1[s1], self.c2[s2]
-        return s1, s2, p1, p2, c1, c2, (p1 == p2) * np.int8(64) + c2 * np.int8(8) + c1
-
-    def learn(self, n: int, state: tuple[np.ndarray, ...], ids: np.ndarray, event: np.ndarray, missed: np.ndarray) -> None:
-        s1, s2, p1, p2, c1, c2, where = state
-        for slot, guess, sure, guesses, sures in ((s1, p1, c1, self.p1, self.c1), (s2, p2, c2, self.p2, self.c2)):
-            guesses[slot] = np.where(sure <= 1, ids, guess)
-            sures[slot] = np.where(guess == ids, np.minimum(sure + 1, 7), np.maximum(sure >> 1, 1))
-        self.seen.append(where.astype(np.int32) * 3 + event)
+        s2 = (self.before[:n].view(np.uint32) * np.uint32(0x9E3779B1) ^ s1.view(np.uint32) * np.uint32(0x85EBCA77)) >> np.uint32(32 - ORDER2_BITS)
+        e1, e2 = self.order1[s1], self.order2[s2]
+        p1, p2 = (e1 >> 3) - 1, (e2 >> 3) - 1
+        return s1, s2, e1, e2, p1, p2, ((e1 & 7) << 2) | ((e2 & 7) << 5) | ((p1 == p2).astype(np.int32) << 8)
+
+    def learn(self, n: int, state: tuple[np.ndarray, ...], ids: np.ndarray, slot: np.ndarray, missed: np.ndarray) -> None:
+        s1, s2, e1, e2, p1, p2, _ = state
+        fresh = (ids + 1) << 3 | 1
+        for at, entry, guess, table in ((s1, e1, p1, self.order1), (s2, e2, p2, self.order2)):
+            sure = entry & 7
+            wrong = np.where(sure <= 1, fresh, entry - sure + (sure >> 1))
+            table[at] = np.where(guess == ids, entry + (sure < 7), wrong)
+        self.seen.append(slot)
         self.missed.append(missed)
         self.before[:n] = s1
         self.last[:n] = ids
@@ -180,23 +188,24 @@ def encode_ids(ids: np.ndarray) -> tuple[int, int, np.ndarray, np.ndarray]:
     grid[: len(ids)] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, each).T)
     last = len(ids) - (lanes - 1) * each
-    model, coder, lane = Model(lanes, size), _Encoder(lanes, each + 16), np.arange(lanes)
+    model, coder = Model(lanes, size), _Encoder(lanes, each + 16)
     for step in range(each):
         n = lanes if step < last else lanes - 1
         now = grid[step, :n]
         state = model.contexts(n)
-        event = np.where(state[3] == now, np.int8(2), (state[2] == now).astype(np.int8))
-        bounds = model.event_ends[state[6]]
-        start = bounds[lane[:n], event]
-        size = bounds[lane[:n], event + 1] - start
-        start <<= np.uint64(ID_BITS)
+        event = (state[4] == now).astype(np.int32)
+        event[state[5] == now] = 2
+        slot = state[6] + event
+        start, size = model.event_starts[slot], model.event_sizes[slot]
         miss = np.flatnonzero(event == 0)
         missed = now[miss]
-        start[miss] += size[miss] * model.id_starts[missed]
-        width = size << np.uint64(ID_BITS)
-        width[miss] = size[miss] * model.id_sizes[missed]
-        coder.put(n, start, width)
-        model.learn(n, state, now, event, missed)
+        start <<= _ID
+        share = size[miss]
+        size <<= _ID
+        start[miss] += share * model.id_starts[missed]
+        size[miss] = share * model.id_sizes[missed]
+        coder.put(n, start, size)
+        model.learn(n, state, now, slot, missed)
     sizes, words = coder.end()
     return lanes, len(model.ids), sizes, words
 
@@ -207,27 +216,26 @@ def decode_ids(count: int, lanes: int, size: int, sizes: np.ndarray, words: np.n
     each = _lanes(count)[1]
     last = count - (lanes - 1) * each
     grid = np.zeros((each, lanes), np.int32)
-    model, coder, lane = Model(lanes, size), _Decoder(sizes, words), np.arange(lanes)
+    model, coder = Model(lanes, size), _Decoder(sizes, words)
     for step in range(each):
         n = lanes if step < last else lanes - 1
         state = model.contexts(n)
         at = coder.seek(n)
-        bounds = model.event_ends[state[6]]
-        whole = at >> np.uint64(ID_BITS)
-        event = (whole >= bounds[:, 1]).astype(np.int8) + (whole >= bounds[:, 2])
-        start = bounds[lane[:n], event]
-        share = bounds[lane[:n], event + 1] - start
-        start <<= np.uint64(ID_BITS)
-        now = np.where(event == 2, state[3], state[2])
+        whole, where = at >> _ID, state[6]
+        slot = where + (whole >= model.event_starts[where + 1]) + (whole >= model.event_starts[where + 2])
+        event = slot - where
+        start, size = model.event_starts[slot] << _ID, model.event_sizes[slot]
+        now = np.where(event == 2, state[5], state[4])
         miss = np.flatnonzero(event == 0)
-        missed = model.id_at[np.minimum((at[miss] - start[miss]) // share[miss], np.uint64(len(model.id_at) - 1))]
+        share = size[miss]
+        size <<= _ID
+        missed = model.id_at[np.minimum((at[miss] - start[miss]) // share, np.uint64(len(model.id_at) - 1))]
         now[miss] = missed
-        start[miss] += share[miss] * model.id_starts[missed]
-        width = share << np.uint64(ID_BITS)
-        width[miss] = share[miss] * model.id_sizes[missed]
-        coder.take(n, start, width)
+        start[miss] += share * model.id_starts[missed]
+        size[miss] = share * model.id_sizes[missed]
+        coder.take(n, start, size)
         grid[step, :n] = now
-        model.learn(n, state, now, event, missed)
+        model.learn(n, state, now, slot, missed)
     return grid.T.ravel()[:count].astype(np.int64)
 
 

@@ -7,10 +7,13 @@ ascending doc_id order, so Spark's own commit protocol makes a write whole and a
 from __future__ import annotations
 
 import functools
+import json
 import os
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +27,8 @@ from ._common import release, shared_dir, small, table
 
 #: Ids after which a block is closed; a longer document has a longer block.
 BLOCK_IDS = 1 << 21
-#: Words whose ids a worker remembers at once.
-REMEMBERED = 400_000
+#: Words and stems whose ids a worker remembers at once.
+WORDS, STEMS = 300_000, 1_000_000
 BLOCKS = "part int, block int, n_ids long, data binary"
 
 
@@ -41,41 +44,75 @@ MARKS = b".,;:!?*$%&#"
 
 
 class WordIds:
-    """Ids of texts under a lower-casing tokenizer that drops white space and splits words into letters and other runs.
+    """Ids of texts under a lower-casing tokenizer with word ends that drops white space and splits off runs of letters.
 
     Such a tokenizer gives a text the ids of its words one after another, so each distinct word is encoded once. Marks
-    at the end of a word are a piece of their own if a letter stands before them, so they are encoded apart.
+    at the end of a word are a piece of their own if a letter stands before them, so they are encoded apart. A stem of
+    letters alone, small and composed already, is one piece that normalizer and splitter leave as it is: many such are
+    encoded as one text by the same model without them, and cut where a piece ends.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        suffix = spec["model"]["end_of_word_suffix"]
+        plain = [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+        spec |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": plain}}
+        self.plain = Tokenizer.from_str(json.dumps(spec))
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith(suffix)]] = True
+        self.words: dict[bytes, bytes] = {}
+        self.stems: dict[bytes, bytes] = {b"": b""}
 
     @staticmethod
     def cut(word: bytes) -> tuple[bytes, bytes]:
         """(stem, marks); the stem's ASCII letters are small ones unless it could hold a special token."""
+        stem = word.rstrip(MARKS)
+        if stem.isalnum():
+            return stem.lower(), word[len(stem) :]
         if b"<|" in word:
             return word, b""
-        stem = word.rstrip(MARKS)
-        if stem != word and not stem.decode()[-1:].isalpha():
+        if stem is not word and not stem.decode()[-1:].isalpha():
             stem = word
         return stem.lower(), word[len(stem) :]
 
+    def learn(self, stems: list[bytes]) -> None:
+        simple, others = [], []
+        for stem in stems:
+            text = stem.decode()
+            small = text.isalpha() and (stem.isascii() or (text == text.lower() and unicodedata.is_normalized("NFC", text)))
+            (simple if small else others).append((stem, text))
+        for at in range(0, len(simple), 200):
+            some = simple[at : at + 200]
+            ids = np.array(self.plain.encode(" ".join([x[1] for x in some]), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(some):
+                others += some
+                continue
+            raw, start = ids.tobytes(), 0
+            for (stem, _), end in zip(some, (ends * 4).tolist(), strict=True):
+                self.stems[stem] = raw[start:end]
+                start = end
+        for (stem, _), found in zip(others, self.tokenizer.encode_batch_fast([x[1] for x in others], add_special_tokens=False), strict=True):
+            self.stems[stem] = np.array(found.ids, "<u4").tobytes()
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian u32."""
-        cut = [t.split() for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [(word, *self.cut(word)) for word in set().union(*cut) - self.known.keys()]
-        parts = list({x for word in new for x in word[1:] if x} - self.known.keys())
-        for part, found in zip(parts, self.tokenizer.encode_batch_fast([x.decode() for x in parts], add_special_tokens=False), strict=True):
-            self.known[part] = np.array(found.ids, "<u4").tobytes()
-        for word, stem, marks in new:
-            if word not in self.known:
-                self.known[word] = self.known[stem] + (self.known[marks] if marks else b"")
-        return [b"".join(map(self.known.__getitem__, words)) for words in cut]
+        split = [t.split() for t in texts]
+        if len(self.words) > WORDS:
+            self.words.clear()
+        if len(self.stems) > STEMS:
+            self.stems = {b"": b""}
+        new = [(word, *self.cut(word)) for word in set(chain.from_iterable(split)).difference(self.words)]
+        self.learn(list({x for _, stem, marks in new for x in (stem, marks)}.difference(self.stems)))
+        stems = self.stems
+        self.words.update([(word, stems[stem] + stems[marks]) for word, stem, marks in new])
+        return [b"".join(map(self.words.__getitem__, words)) for words in split]
 
 
 @functools.cache
