@@ -27,6 +27,8 @@ from ._common import materialize, release, small, table
 LOW, HIGH, MARGIN, PRIOR = 0.01, 0.99, 1.5, 64
 #: A language with fewer trusted documents has the limit of all languages together.
 FEW = 25
+#: Trusted ids that may be broadcast to the scan of the texts; more are joined by a shuffle.
+TRUSTED = 1_000_000
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -80,7 +82,7 @@ def smoothed(counts: DataFrame) -> DataFrame:
 
 def fit_bits(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """Cost in bits of every n-gram key under the model of the trusted documents."""
-    texts = docs.join(trusted_ids(labels), "doc_id").select("text")
+    texts = docs.join(small(materialize(trusted_ids(labels), "trusted"), TRUSTED), "doc_id").select("text")
     rows = smoothed(ngram_counts(texts)).toArrow()
     n, kind, key, value = (rows.column(k).to_numpy() for k in range(4))
     levels = []
