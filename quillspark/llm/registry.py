@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, mixing, neardup, quality, repeats, tokens, urls
+from . import chat, decontaminate, licenses, mixing, neardup, quality, repeats, tokens, urls
 
 
 def queries() -> dict:
     return {
         "op1_pareto_mix": mixing.op1_pareto_mix,
+        "op2_winnowed_alignment": licenses.op2_winnowed_alignment,
         "op3_bucket_refinement": repeats.op3_bucket_refinement,
         "op5_host_reputation": urls.op5_host_reputation,
         "op6_snapshot_collapse": chat.op6_snapshot_collapse,
