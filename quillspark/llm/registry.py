@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, licenses, mixing, neardup, quality, repeats, tokens, urls
+from . import chat, decontaminate, licenses, media, mixing, neardup, quality, repeats, tokens, urls
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_pareto_mix": mixing.op1_pareto_mix,
         "op2_winnowed_alignment": licenses.op2_winnowed_alignment,
         "op3_bucket_refinement": repeats.op3_bucket_refinement,
+        "op4_local_descriptors": media.op4_local_descriptors,
         "op5_host_reputation": urls.op5_host_reputation,
         "op6_snapshot_collapse": chat.op6_snapshot_collapse,
         "op7_kneser_ney": quality.op7_kneser_ney,
