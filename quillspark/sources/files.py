@@ -29,8 +29,8 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_texts(docs: DataFrame, path: str) -> None:
-    """One file per row of (text), each whole."""
-    docs.select("text").repartition(max(1, docs.count())).write.mode("overwrite").option("lineSep", "").text(path)
+    """One file per row of (name, text), in a folder per name; each ends with a line end."""
+    docs.select("name", "text").write.mode("overwrite").partitionBy("name").text(path)
 
 
 def read_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
