@@ -28,7 +28,7 @@ from ._common import release, shared_dir, small, table
 #: Ids after which a block is closed; a longer document has a longer block.
 BLOCK_IDS = 1 << 21
 #: Words and stems whose ids a worker remembers at once.
-WORDS, STEMS = 300_000, 1_000_000
+WORDS, STEMS = 200_000, 500_000
 BLOCKS = "part int, block int, n_ids long, data binary"
 
 
