@@ -5,8 +5,8 @@ buckets suffixes by their first q bytes and refines a bucket of two or more by t
 which it has already; buckets of one are done. Here the bucket ids are 64-bit hashes, so that tasks agree on them
 without talking, and the refinement is kept sparse:
 
-1. Every window of LENGTH bytes belongs to the bucket of its least q-gram id. Neighbouring windows mostly share it, so
-   a text is a short list of segments: maximal runs of windows with one bucket.
+1. Every window of LENGTH bytes belongs to the bucket of its least q-gram id, at the first place where it has it.
+   Neighbouring windows mostly share it, so a text is a short list of segments: runs of windows with one such place.
 2. A bucket with one segment in the whole table is done. A bucket with more is refined by the id of the whole segment,
    the string its windows cover: segments with equal ids repeat in full.
 3. In a bucket of unlike segments (where copies begin, end or were edited) the windows are cut into blocks of BLOCK,
@@ -16,8 +16,7 @@ without talking, and the refinement is kept sparse:
 4. What is left, a few blocks at each edge, is carried down to single windows.
 
 A content that many segments have goes down once. All counts are aggregated before the shuffle, then joined back, where Spark
-splits skewed keys; no bucket is ever collected. A q-gram that comes twice inside a segment (periodic text) gives no
-place to count blocks from; such buckets go straight to step 4.
+splits skewed keys; no bucket is ever collected.
 """
 
 from __future__ import annotations
@@ -54,14 +53,11 @@ def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, q: int = Q) -> tuple[np.ndarray, ...]:
-    """(row, first window, last window, place of the q-gram, bucket, id, again) of the segments of all rows; windows are counted in their row.
-
-    ``again``: the bucket's q-gram comes more than once in the segment.
-    """
+    """(row, first window, last window, place of the q-gram, bucket, id) of the segments of all rows; windows are counted in their row."""
     windows = np.maximum(np.diff(offsets) - length + 1, 0)
     none = np.zeros(0, np.int64)
     if not windows.any():
-        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(bool)
+        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     sums = T.prefix_sums(data)
     at = np.arange(len(data) - q + 1)
     grams = T.span_hash(sums, at, at + q)
@@ -80,26 +76,38 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, q: int
     first = np.flatnonzero(new)
     stop = valid[:-1] & (~valid[1:] | new[1:])
     last = np.flatnonzero(stop)
-    row = np.searchsorted(offsets, first, "right") - 1
     bucket = least[first]
     view = np.lib.stride_tricks.sliding_window_view(grams, width)
     again = np.empty(len(first), bool)
     place = np.empty(len(first), np.int64)
     for a in range(0, len(first), 8192):
         part = slice(a, a + 8192)
-        left = (view[first[part]] == bucket[part, None]).argmax(1) + first[part]
-        right = width - 1 - (view[last[part]] == bucket[part, None])[:, ::-1].argmax(1) + last[part]
-        again[part], place[part] = left != right, left
-    return row, first - offsets[row], last - offsets[row], place - offsets[row], bucket, T.span_hash(sums, first, last + length), again
+        place[part] = (view[first[part]] == bucket[part, None]).argmax(1) + first[part]
+        again[part] = place[part] != width - 1 - (view[last[part]] == bucket[part, None])[:, ::-1].argmax(1) + last[part]
+    if again.any():  # one segment for each place of the q-gram: the windows in which it is the first
+        a, b, x = first[again], last[again], bucket[again]
+        size = b - a + width
+        of = np.repeat(np.arange(len(a)), size)
+        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + a[of]
+        hit = grams[at] == x[of]
+        of, at = of[hit], at[hit]
+        after = np.append(False, of[1:] == of[:-1])
+        start = np.where(after, np.append(0, at[:-1]) + 1, a[of])
+        end = np.minimum(at, b[of])
+        some = start <= end
+        keep = ~again
+        first, last, place, bucket = (np.concatenate([u[keep], v[some]]) for u, v in ((first, start), (last, end), (place, at), (bucket, x[of])))
+    row = np.searchsorted(offsets, first, "right") - 1
+    return row, first - offsets[row], last - offsets[row], place - offsets[row], bucket, T.span_hash(sums, first, last + length)
 
 
-RUN = "did long, th int, bucket long, id long, first int, last int, place int, again boolean, own boolean"
+RUN = "did long, th int, bucket long, id long, first int, last int, place int, own boolean"
 
 
-def _runs(part: pa.RecordBatch, row, bucket, ids, first, last, place, again, own) -> pa.RecordBatch:
+def _runs(part: pa.RecordBatch, row, bucket, ids, first, last, place, own) -> pa.RecordBatch:
     take = pa.array(row)
     columns = [part.column(0).take(take), part.column(1).take(take), pa.array(bucket.view(np.int64)), pa.array(ids.view(np.int64))]
-    columns += [pa.array(x.astype(np.int32)) for x in (first, last, place)] + [pa.array(again), pa.array(own)]
+    columns += [pa.array(x.astype(np.int32)) for x in (first, last, place)] + [pa.array(own)]
     return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in RUN.split(", ")])
 
 
@@ -109,8 +117,8 @@ def _segments(length: int, q: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in T.pieces(batch, "text"):
-                row, first, last, place, bucket, ids, again = segments(*T.utf8(part.column(2)), length, q)
-                yield _runs(part, row, bucket, ids, first, last, place, again, np.ones(len(row), bool))
+                row, first, last, place, bucket, ids = segments(*T.utf8(part.column(2)), length, q)
+                yield _runs(part, row, bucket, ids, first, last, place, np.ones(len(row), bool))
 
     return run
 
@@ -137,7 +145,7 @@ def _finer(length: int, block: int):
                 base = offsets[rows]
                 covered = T.mix(T.span_hash(sums, base + start, base + end + length) + (start - place).view(np.uint64) * T.MULTIPLIERS[8] * np.uint64(block > 1))
                 shared = T.mix(T.span_hash(sums, base + place + k * block + block - 1, base + place + k * block + length) + k.view(np.uint64) * T.MULTIPLIERS[9]) if block > 1 else covered
-                yield _runs(part, rows, shared, covered, start, end, place, np.zeros(len(rows), bool), own[at])
+                yield _runs(part, rows, shared, covered, start, end, place, own[at])
 
     return run
 
@@ -148,14 +156,14 @@ def _refine(runs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     A bucket of one run is done. Equal ids in a bucket repeat; of each content in a bucket of unlike ones, one run goes on
     (``own``: its result is wanted, as no equal one has been found for it).
     """
-    counted = runs.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high"), F.max("again").alias("again"))
-    counted = counted.where("n > 1 or again").select("bucket", ((F.col("low") != F.col("high")) | F.col("again")).alias("unlike"), F.col("again").alias("periodic"))
+    counted = runs.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high"))
+    counted = counted.where("n > 1").select("bucket", (F.col("low") != F.col("high")).alias("unlike"))
     hits = materialize(runs.join(materialize(counted, f"{name}-buckets"), "bucket"), name)
     one = F.min(F.struct("did", "th", "first", "last", "place")).alias("one")
-    whole = hits.groupBy("bucket", "id").agg(F.count(F.lit(1)).alias("n"), F.max("unlike").alias("unlike"), F.max("periodic").alias("periodic"), F.max("own").alias("own"), one)
+    whole = hits.groupBy("bucket", "id").agg(F.count(F.lit(1)).alias("n"), F.max("unlike").alias("unlike"), F.max("own").alias("own"), one)
     whole = materialize(whole, f"{name}-contents")
     full = hits.where("own").join(whole.where("n > 1").select("bucket", "id"), ["bucket", "id"]).select("did", "th", "first", "last")
-    return full, whole.where("unlike").select("one.did", "one.th", "periodic", F.struct("one.first", "one.last", "one.place", (F.col("own") & (F.col("n") == 1)).alias("own")).alias("part"))
+    return full, whole.where("unlike").select("one.did", "one.th", F.struct("one.first", "one.last", "one.place", (F.col("own") & (F.col("n") == 1)).alias("own")).alias("part"))
 
 
 def _with_texts(texts: DataFrame, parts: DataFrame) -> DataFrame:
@@ -169,9 +177,9 @@ def removed_spans(data: DataFrame, length: int = LENGTH, q: int = Q) -> DataFram
     parts = materialize(parts, "parts")
     asked = materialize(parts.select("did", "th").distinct(), "asked")
     texts = materialize(data.join(small(asked, ASKED), ["did", "th"]).dropDuplicates(["did", "th"]), "texts")
-    blocks = _with_texts(texts, parts.where("not periodic")).mapInArrow(_finer(length, min(BLOCK, length)), RUN)
+    blocks = _with_texts(texts, parts).mapInArrow(_finer(length, min(BLOCK, length)), RUN)
     more, rest = _refine(blocks, "blocks")
-    rest = materialize(rest.unionByName(parts.where("periodic")), "rest")
+    rest = materialize(rest, "rest")
     windows = materialize(_with_texts(texts, rest).mapInArrow(_finer(length, 1), RUN).select("did", "th", "id", "first", "own"), "windows")
     shared = windows.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("own")).where("n > 1 and own").select("id")
     single = windows.where("own").join(shared, "id").select("did", "th", "first", F.col("first").alias("last"))
