@@ -25,7 +25,7 @@ HEAD = struct.Struct("<4sIQIII")
 LANES, LANE_IDS = 4096, 256
 ORDER2_BITS = 18
 #: Most steps between two renewals of the order-0 table, and of the event table.
-RENEW, RECOUNT = 16, 4
+RENEW, RECOUNT = 32, 4
 #: Bits of an event's and of an order-0 frequency; a symbol's share of the range is their product.
 EVENT_BITS, ID_BITS = 12, 18
 _SHIFT = np.uint64(EVENT_BITS + ID_BITS)
@@ -79,7 +79,13 @@ class Model:
         ends = np.zeros(len(share) + 1, np.int64)
         np.cumsum(share, out=ends[1:])
         self.id_starts, self.id_sizes = ends[:-1].astype(np.uint64), share.astype(np.uint64)
-        self.id_at = np.repeat(np.arange(len(share), dtype=np.int32), share)
+        self.id_at: np.ndarray | None = None
+
+    def id_of(self, at: np.ndarray) -> np.ndarray:
+        """The ids at places between the bounds."""
+        if self.id_at is None:
+            self.id_at = np.repeat(np.arange(len(self.id_sizes), dtype=np.int32), self.id_sizes.astype(np.int64))
+        return self.id_at[np.minimum(at, np.uint64(len(self.id_at) - 1))]
 
     def contexts(self, n: int) -> tuple[np.ndarray, ...]:
         """For the first n lanes: slots and entries of both orders, their predictions, and 4 times the bin of the events."""
@@ -103,7 +109,7 @@ class Model:
         self.steps += 1
         if self.steps % RECOUNT == 0 or self.steps < RECOUNT:
             self.recount()
-        if self.steps % RENEW == 0 or self.steps in (1, 2, 4, 8):
+        if self.steps % RENEW == 0 or self.steps in (1, 2, 4, 8, 16):
             self.renew()
 
 
@@ -229,7 +235,7 @@ def decode_ids(count: int, lanes: int, size: int, sizes: np.ndarray, words: np.n
         miss = np.flatnonzero(event == 0)
         share = size[miss]
         size <<= _ID
-        missed = model.id_at[np.minimum((at[miss] - start[miss]) // share, np.uint64(len(model.id_at) - 1))]
+        missed = model.id_of((at[miss] - start[miss]) // share)
         now[miss] = missed
         start[miss] += share * model.id_starts[missed]
         size[miss] = share * model.id_sizes[missed]

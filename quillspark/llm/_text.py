@@ -87,8 +87,8 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(U64) * MULTIPLIERS[63])
 
 
-def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, starts, ends, word offsets by row) of the words of each row, with A-Z as a-z."""
+def spans(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the words of all rows."""
     n = len(data)
     inside = ~separators[data]
     edge = np.zeros(n + 1, bool)
@@ -98,8 +98,12 @@ def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE)
     if n:
         before[0], before[1:] = False, inside[:-1]
         after[-1], after[:-1] = False, inside[1:]
-    starts = np.flatnonzero(inside & (~before | edge[:n]))
-    ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
+    return np.flatnonzero(inside & (~before | edge[:n])), np.flatnonzero(inside & (~after | edge[1:])) + 1
+
+
+def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, starts, ends, word offsets by row) of the words of each row, with A-Z as a-z."""
+    starts, ends = spans(data, offsets, separators)
     hashes = span_hash(prefix_sums(LOWER[data]), starts, ends)
     return hashes, starts, ends, np.searchsorted(starts, offsets)
 

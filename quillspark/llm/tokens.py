@@ -13,7 +13,6 @@ import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +24,10 @@ from . import _codec
 from . import _text as T
 from ._common import release, shared_dir, small, table
 
-#: Ids after which a block is closed; a longer document has a longer block.
+#: Ids after which a block is closed, at the end of a document.
 BLOCK_IDS = 1 << 21
-#: Words and stems whose ids a worker remembers at once.
-WORDS, STEMS = 200_000, 500_000
+#: Distinct units whose ids a worker remembers at once, about 25 bytes each.
+REMEMBERED = 4_000_000
 BLOCKS = "part int, block int, n_ids long, data binary"
 
 
@@ -40,16 +39,18 @@ def word_tokenizer(name: str = "word_bpe_49k.json") -> str:
 
 
 #: Marks that stand in one piece after a letter, apart from it.
-MARKS = b".,;:!?*$%&#"
+MARKS = np.zeros(256, bool)
+MARKS[list(b".,;:!?*$%&#")] = True
+LETTERS = np.zeros(256, bool)
+LETTERS[[*range(65, 91), *range(97, 123)]] = True
 
 
-class WordIds:
+class UnitIds:
     """Ids of texts under a lower-casing tokenizer with word ends that drops white space and splits off runs of letters.
 
-    Such a tokenizer gives a text the ids of its words one after another, so each distinct word is encoded once. Marks
-    at the end of a word are a piece of their own if a letter stands before them, so they are encoded apart. A stem of
-    letters alone, small and composed already, is one piece that normalizer and splitter leave as it is: many such are
-    encoded as one text by the same model without them, and cut where a piece ends.
+    Such a tokenizer gives a text the ids of its words one after another, so each distinct word is encoded once. Marks at
+    the end of a word are a piece of their own if a letter stands before them; then word and marks are two units. Units are known by
+    64-bit hashes with A-Z as a-z; only words with a <, which may hold special tokens, are known by their exact bytes.
     """
 
     def __init__(self, path: str) -> None:
@@ -66,59 +67,98 @@ class WordIds:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith(suffix)]] = True
-        self.words: dict[bytes, bytes] = {}
-        self.stems: dict[bytes, bytes] = {b"": b""}
-
-    @staticmethod
-    def cut(word: bytes) -> tuple[bytes, bytes]:
-        """(stem, marks); the stem's ASCII letters are small ones unless it could hold a special token."""
-        stem = word.rstrip(MARKS)
-        if stem.isalnum():
-            return stem.lower(), word[len(stem) :]
-        if b"<|" in word:
-            return word, b""
-        if stem is not word and not stem.decode()[-1:].isalpha():
-            stem = word
-        return stem.lower(), word[len(stem) :]
-
-    def learn(self, stems: list[bytes]) -> None:
-        simple, others = [], []
-        for stem in stems:
-            text = stem.decode()
-            small = text.isalpha() and (stem.isascii() or (text == text.lower() and unicodedata.is_normalized("NFC", text)))
-            (simple if small else others).append((stem, text))
-        for at in range(0, len(simple), 200):
-            some = simple[at : at + 200]
-            ids = np.array(self.plain.encode(" ".join([x[1] for x in some]), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) != len(some):
-                others += some
+        self.forget()
+
+    def forget(self) -> None:
+        self.hashes, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.starts = np.zeros(1, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def learn(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all units, how many each has).
+
+        A unit of small, composed letters alone is one piece that normalizer and splitter leave as it is: many such are
+        encoded as one text by the same model without them, and cut where a piece ends.
+        """
+        texts = [u.decode() for u in units]
+        simple = [i for i, t in enumerate(texts) if t.isalpha() and (t == t.lower() if not t.isascii() else t.islower()) and (t.isascii() or unicodedata.is_normalized("NFC", t))]
+        found: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(units)
+        others = set(range(len(units))).difference(simple)
+        for at in range(0, len(simple), 256):
+            some = simple[at : at + 256]
+            ids = np.array(self.plain.encode(" ".join([texts[i] for i in some]), add_special_tokens=False).ids, np.uint32)
+            cuts = np.flatnonzero(self.ends[ids])[:-1] + 1
+            if len(cuts) + 1 != len(some):
+                others.update(some)
                 continue
-            raw, start = ids.tobytes(), 0
-            for (stem, _), end in zip(some, (ends * 4).tolist(), strict=True):
-                self.stems[stem] = raw[start:end]
-                start = end
-        for (stem, _), found in zip(others, self.tokenizer.encode_batch_fast([x[1] for x in others], add_special_tokens=False), strict=True):
-            self.stems[stem] = np.array(found.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text as little-endian u32."""
-        split = [t.split() for t in texts]
-        if len(self.words) > WORDS:
-            self.words.clear()
-        if len(self.stems) > STEMS:
-            self.stems = {b"": b""}
-        new = [(word, *self.cut(word)) for word in set(chain.from_iterable(split)).difference(self.words)]
-        self.learn(list({x for _, stem, marks in new for x in (stem, marks)}.difference(self.stems)))
-        stems = self.stems
-        self.words.update([(word, stems[stem] + stems[marks]) for word, stem, marks in new])
-        return [b"".join(map(self.words.__getitem__, words)) for words in split]
+            for i, x in zip(some, np.split(ids, cuts), strict=True):
+                found[i] = x
+        rest = sorted(others)
+        for i, x in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            found[i] = np.array(x.ids, np.uint32)
+        return np.concatenate(found), np.array([len(x) for x in found], np.int64)
+
+    def units(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hashes, starts, ends) of the units of all rows."""
+        starts, ends = T.spans(data, offsets)
+        if not len(starts):
+            return np.zeros(0, np.uint64), starts, ends
+        stem, open_ = ends.copy(), np.arange(len(ends))
+        for _ in range(16):
+            open_ = open_[MARKS[data[stem[open_] - 1]]]
+            stem[open_] -= 1
+            open_ = open_[stem[open_] > starts[open_]]
+            if not len(open_):
+                break
+        else:  # long runs of marks
+            last = np.maximum.accumulate(np.where(MARKS[data], -1, np.arange(len(data))))
+            stem = np.maximum(last[ends - 1] + 1, starts)
+        byte, before = data[np.maximum(stem - 1, 0)], data[np.maximum(stem - 2, 0)]
+        letter = LETTERS[byte] | ((byte >= 0x80) & (before == 0xC3) & (byte != 0x97) & (byte != 0xB7))
+        split = (stem > starts) & (stem < ends) & letter
+        if (data == 0x3C).any():
+            angles = np.append(0, np.cumsum(data == 0x3C))
+            split &= angles[ends] == angles[starts]
+        at = np.flatnonzero(split)
+        starts, ends = np.insert(starts, at + 1, stem[at]), np.insert(ends, at, stem[at])
+        hashes = T.span_hash(T.prefix_sums(T.LOWER[data]), starts, ends)
+        if (data == 0x3C).any():
+            exact = angles[ends] != angles[starts]
+            hashes[exact] = T.mix(T.span_hash(T.prefix_sums(data), starts[exact], ends[exact]) ^ T.MULTIPLIERS[7])
+        return hashes, starts, ends
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets by row) of a column of texts."""
+        data, offsets = T.utf8(column)
+        hashes, starts, ends = self.units(data, offsets)
+        if len(self.hashes) > REMEMBERED:
+            self.forget()
+        distinct, first, where = np.unique(hashes, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.hashes, distinct)
+        new = np.ones(len(distinct), bool)
+        inside = at < len(self.hashes)
+        new[inside] = self.hashes[at[inside]] != distinct[inside]
+        if new.any():
+            raw = data.tobytes()
+            units = [raw[a:b] if b"<" in raw[a:b] else raw[a:b].lower() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
+            ids, count = self.learn(units)
+            entry = np.arange(len(count)) + len(self.starts) - 1
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(count)])
+            self.ids = np.concatenate([self.ids, ids])
+            self.hashes, self.entry = np.insert(self.hashes, at[new], distinct[new]), np.insert(self.entry, at[new], entry)
+            at = np.searchsorted(self.hashes, distinct)
+        entry = self.entry[at][where]
+        begin = self.starts[entry]
+        count = self.starts[entry + 1] - begin
+        place = np.append(0, np.cumsum(count))
+        ids = self.ids[np.arange(place[-1]) + np.repeat(begin - place[:-1], count)]
+        return ids, place[np.searchsorted(starts, offsets)]
 
 
 @functools.cache
-def _word_ids(path: str) -> WordIds:
+def _unit_ids(path: str) -> UnitIds:
     """One for the life of a Python worker."""
-    return WordIds(path)
+    return UnitIds(path)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
@@ -128,39 +168,31 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) ->
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part, block = _word_ids(tokenizer), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
-        names: list[pa.Array] = []
-        counts: list[int] = []
-        held: list[bytes] = []
+        units, part, block = _unit_ids(tokenizer), TaskContext.get().partitionId(), 0
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
         size = 0
 
         def close() -> pa.RecordBatch:
             nonlocal block, size
-            name = pa.concat_arrays(names)
+            name = pa.concat_arrays([h[0] for h in held])
             null = name.is_null().to_numpy(zero_copy_only=False)
-            data = _codec.write_block(name.fill_null(0).to_numpy(), null, np.array(counts), np.frombuffer(b"".join(held), "<u4"))
+            data = _codec.write_block(name.fill_null(0).to_numpy(), null, np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held]))
             out = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([size]), pa.array([data], pa.binary())], ["part", "block", "n_ids", "data"])
             block, size = block + 1, 0
-            for x in (names, counts, held):
-                x.clear()
+            held.clear()
             return out
 
         for batch in batches:
             for piece in T.pieces(batch, "text"):
-                texts = [x or b"" for x in piece.column(1).cast(pa.large_binary()).to_pylist()]
-                start = 0
-                for i, ids in enumerate(words.encode(texts)):
-                    held += [ids, end]
-                    counts.append(len(ids) // 4 + 1)
-                    size += counts[-1]
-                    if size >= BLOCK_IDS:
-                        names.append(piece.column(0).slice(start, i + 1 - start))
-                        start = i + 1
-                        yield close()
-                if start < len(texts):
-                    names.append(piece.column(0).slice(start))
-        if counts:
+                ids, offsets = units.encode(piece.column(1))
+                count = np.diff(offsets)
+                ended = np.full(len(ids) + len(count), end_id, np.uint32)
+                ended[np.arange(len(ids)) + np.repeat(np.arange(len(count)), count)] = ids
+                held.append((piece.column(0), count + 1, ended))
+                size += len(ended)
+                if size >= BLOCK_IDS:
+                    yield close()
+        if held:
             yield close()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
