@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import cut, upper_median
+from quillspark.functions.text import upper_median
+from quillspark.operators.slices import with_slices
 
 SPECIAL_TOKENS = ("[PAD]", "[CLS]", "[SEP]", "[UNK]")
 
@@ -35,8 +36,7 @@ def gap_clusters(positions: DataFrame, gap: int = 20, first: int = 10) -> DataFr
 def with_context(clusters: DataFrame, docs: DataFrame, before: int = 40, after: int = 80) -> DataFrame:
     """Clusters with the text around them."""
     start = F.greatest(F.col("char_start") - before, F.lit(0))
-    end = F.least(F.col("char_end") + after, F.length("text"))
-    return clusters.join(docs.select("doc_id", "text"), "doc_id").withColumn("text_context", cut(F.col("text"), start, end)).drop("text")
+    return with_slices(clusters, docs, {"text_context": (start, F.col("char_end") + after)})
 
 
 def validate_clusters(clusters: DataFrame, lengths: DataFrame) -> DataFrame:
@@ -56,8 +56,7 @@ def validate_clusters(clusters: DataFrame, lengths: DataFrame) -> DataFrame:
 
 def mid_word_boundaries(clusters: DataFrame, docs: DataFrame) -> DataFrame:
     """Per document with clusters: how many start inside the text with neither neighbour a space or line end."""
-    rows = clusters.select("doc_id", "char_start").join(docs.select("doc_id", "text"), "doc_id")
     at = F.col("char_start")
-    word = lambda c: ~c.isin(" ", "\n")
-    inside = (at > 0) & (at < F.length("text")) & word(cut(F.col("text"), at - 1, at)) & word(cut(F.col("text"), at, at + 1))
+    rows = with_slices(clusters.select("doc_id", "char_start"), docs, {"around": (at - 1, at + 1)})
+    inside = (at > 0) & (F.length("around") == 2) & ~F.col("around").rlike("[ \n]")
     return rows.groupBy("doc_id").agg(F.count_if(inside).alias("mid_word_boundaries"))

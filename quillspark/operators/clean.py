@@ -8,7 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import WS, strip, word_count
+from quillspark.functions.text import WS, word_count
+
+#: White space but for the line end.
+GAP = r"[\s\x1c-\x1f&&[^\n]]"
 
 
 def remove_header(c: Column) -> Column:
@@ -19,16 +22,15 @@ def remove_header(c: Column) -> Column:
 
 def filter_lines(c: Column) -> Column:
     """Drops metadata, heading and empty marker lines; strips a page mark at the end of a line."""
-    kept = F.filter(F.split(c, "\n", -1), lambda x: ~(strip(x).startswith("#META#") | strip(x).startswith("######OpenITI#")))
-    bare = F.transform(kept, lambda x: F.regexp_replace(x, rf"(?U){WS}*PageV\d+P\d+{WS}*\z", ""))
-    return F.array_join(F.filter(bare, lambda x: ~x.rlike(rf"(?U)\A(###{WS}*\||#{WS}*\z)")), "\n")
+    kept = F.filter(F.split(c, "\n", -1), lambda x: ~x.rlike(rf"(?U)\A{WS}*+(?:#META#|######OpenITI#)"))
+    bare = F.transform(kept, lambda x: F.when(x.contains("PageV"), F.regexp_replace(x, rf"(?U){WS}*PageV\d+P\d+{WS}*\z", "")).otherwise(x))
+    return F.array_join(F.filter(bare, lambda x: ~x.startswith("#") | ~x.rlike(rf"(?U)\A(?:###{WS}*\||#{WS}*\z)")), "\n")
 
 
 def join_continuations(c: Column) -> Column:
     """Lines that start with ~~ continue the line before, after one space; empty lines go."""
-    gap = r"[^\S\n\x1c-\x1f]|[\x1c-\x1f]"
-    c = F.regexp_replace(c, rf"(?U)(?<=[^\n])\n~~(?:{gap})*", " ")
-    c = F.regexp_replace(c, rf"(?Um)(?:(?<=\n)|\A)~~(?:{gap})*", "")
+    c = F.regexp_replace(c, rf"(?U)(?<=[^\n])\n~~{GAP}*+", " ")
+    c = F.regexp_replace(c, rf"(?U)(?:(?<=\n)|\A)~~{GAP}*+", "")
     return F.regexp_replace(F.regexp_replace(c, "\n{2,}", "\n"), r"\A\n|\n\z", "")
 
 
@@ -41,7 +43,8 @@ def remove_annotations(c: Column) -> Column:
 
 def tidy_spaces(c: Column) -> Column:
     """Strips every line, keeps empty lines inside and drops those at the end."""
-    return F.regexp_replace(F.array_join(F.transform(F.split(c, "\n", -1), strip), "\n"), r"\n+\z", "")
+    c = F.regexp_replace(c, rf"(?U){GAP}++(?=\n|\z)|(?:(?<=\n)|\A){GAP}++", "")
+    return F.regexp_replace(c, r"\n+\z", "")
 
 
 STEPS = (remove_header, filter_lines, join_continuations, remove_annotations, tidy_spaces)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import cut, strip
+from quillspark.functions.text import strip
 from quillspark.operators.segments import header_prefix
+from quillspark.operators.slices import with_slices
 
 
 def spaced(boundaries: DataFrame, least: int = 50) -> DataFrame:
@@ -30,9 +31,10 @@ def build_records(boundaries: DataFrame, docs: DataFrame, least: int = 50, least
     ids are dense after that. char_end is the boundary's end plus the stripped body's length.
     """
     order = Window.partitionBy("doc_id").orderBy("char_start", "boundary_id")
-    rows = spaced(boundaries, least).withColumn("next", F.lead("char_start").over(order)).join(docs.select("doc_id", "text"), "doc_id")
-    rows = rows.withColumn("header", strip(cut(F.col("text"), F.col("char_start"), F.col("char_end"))))
-    rows = rows.withColumn("body", strip(cut(F.col("text"), F.col("char_end"), F.coalesce("next", F.length("text")))))
+    rows = spaced(boundaries, least).withColumn("next", F.lead("char_start").over(order))
+    rows = rows.select("doc_id", "boundary_id", "char_start", "char_end", "max_prob", "next")
+    rows = with_slices(rows, docs, {"header": (F.col("char_start"), F.col("char_end")), "body": (F.col("char_end"), F.col("next"))})
+    rows = rows.withColumn("header", strip(F.col("header"))).withColumn("body", strip(F.col("body")))
     rows = rows.where(F.length("header") >= least_header)
     n = lambda c: F.length(c).cast("long")
     return rows.select(
@@ -49,8 +51,8 @@ def record_totals(records: DataFrame) -> DataFrame:
 
 def narrative_units(spans: DataFrame, docs: DataFrame, unit_id: str = "boundary_id", start: str = "char_start", end: str = "char_end", **header) -> DataFrame:
     """Spans of boundaries or segments -> units with the header found at the start of the span's own text."""
-    rows = spans.select("doc_id", F.col(unit_id).alias("unit_id"), F.col(start).alias("char_start"), F.col(end).alias("char_end")).join(docs.select("doc_id", "text"), "doc_id")
-    rows = rows.withColumn("span", cut(F.col("text"), F.col("char_start"), F.col("char_end"))).withColumn("header_text", header_prefix(F.col("span"), **header))
+    rows = spans.select("doc_id", F.col(unit_id).alias("unit_id"), F.col(start).alias("char_start"), F.col(end).alias("char_end"))
+    rows = with_slices(rows, docs, {"span": (F.col("char_start"), F.col("char_end"))}).withColumn("header_text", header_prefix(F.col("span"), **header))
     return rows.select("doc_id", "unit_id", F.lit("record").alias("type"), "char_start", "char_end", F.col("header_text").isNotNull().alias("has_header"), "header_text", F.length("span").cast("long").alias("text_length"))
 
 

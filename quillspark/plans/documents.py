@@ -73,11 +73,11 @@ def smart_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def clean_text(spark: SparkSession, d: str) -> DataFrame:
-    return clean.clean_documents(marked(table(spark, d, "documents"))).select("doc_id", F.length("text").cast("long").alias("n"), F.md5("text").alias("digest"))
+    return clean.clean_documents(marked(spread(table(spark, d, "documents").select("doc_id", "text")))).select("doc_id", F.length("text").cast("long").alias("n"), F.md5("text").alias("digest"))
 
 
 def clean_stats(spark: SparkSession, d: str) -> DataFrame:
-    rows = marked(table(spark, d, "documents")).select("doc_id", "text", clean.clean(F.col("text")).alias("after"))
+    rows = marked(spread(table(spark, d, "documents").select("doc_id", "text"))).select("doc_id", "text", clean.clean(F.col("text")).alias("after"))
     return rows.select("doc_id", *clean.clean_stats(F.col("text"), F.col("after"))).withColumn("content_retention", F.round("content_retention", 9)).withColumn("sample_text", F.md5("sample_text"))
 
 
