@@ -56,8 +56,8 @@ def _discount(c: Column) -> Column:
 
 
 def smoothed(counts: DataFrame) -> DataFrame:
-    """(key, c) of the highest order -> (n, kind, key, value): for each order n the discounted probability of each seen n-gram
-    (kind p) and the weight left to the shorter context of each seen context (kind w).
+    """(key, c) of the highest order -> (n, seen, key, value): for each order n the discounted probability of each seen n-gram,
+    and (not seen) the weight that each context leaves to the next shorter one.
 
     Orders below the highest count distinct n-grams one symbol longer. The three discounts of an order come from its counts of counts.
     """
@@ -72,8 +72,8 @@ def smoothed(counts: DataFrame) -> DataFrame:
         grams = grams.join(F.broadcast(seen.select(*d))).select((F.col("key") / K.SYMBOLS).cast("int").alias("context"), "key", "c", _discount(F.col("c")).alias("off"))
         contexts = grams.groupBy("context").agg(F.sum("c").alias("total"), F.sum("off").alias("off_total"))
         joined = grams.join(contexts, "context")
-        out.append(joined.select(F.lit(n).alias("n"), F.lit("p").alias("kind"), F.col("key").cast("int").alias("key"), ((F.col("c") - F.col("off")) / F.col("total")).alias("value")))
-        out.append(contexts.select(F.lit(n), F.lit("w"), F.col("context"), F.col("off_total") / F.col("total")))
+        out.append(joined.select(F.lit(n).alias("n"), F.lit(True).alias("seen"), F.col("key").cast("int").alias("key"), ((F.col("c") - F.col("off")) / F.col("total")).alias("value")))
+        out.append(contexts.select(F.lit(n), F.lit(False), F.col("context"), F.col("off_total") / F.col("total")))
     every = out[0]
     for rows in out[1:]:
         every = every.union(rows)
@@ -84,10 +84,10 @@ def fit_bits(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """Cost in bits of every n-gram key under the model of the trusted documents."""
     texts = docs.join(small(materialize(trusted_ids(labels), "trusted"), TRUSTED), "doc_id").select("text")
     rows = smoothed(ngram_counts(texts)).toArrow()
-    n, kind, key, value = (rows.column(k).to_numpy() for k in range(4))
+    n, seen, key, value = (rows.column(k).to_numpy() for k in range(4))
     levels = []
     for order in range(1, K.ORDER + 1):
-        p, w = (n == order) & (kind == "p"), (n == order) & (kind == "w")
+        p, w = (n == order) & seen, (n == order) & ~seen
         rest = np.ones(K.SYMBOLS ** (order - 1), np.float32)
         rest[key[w]] = value[w]
         levels.append((key[p], value[p], rest))
