@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.functions.lexicon import LATIN_QUOTE, LATIN_STEMS
 from quillspark.functions.text import escape_html, normalize_arabic
 from quillspark.operators import annotations, boundaries, chunks, clean, records, report, scoring, segments
+from quillspark.plans import lifecycles
 from quillspark.plans._read import spread, table
 from quillspark.sources.files import name_of
 
@@ -201,6 +202,17 @@ def prompts(spark: SparkSession, d: str) -> DataFrame:
     return smart_chunks(spark, d).join(table(spark, d, "documents").select("doc_id", "text"), "doc_id").select("doc_id", "chunk_id", F.md5(annotations.prompt(F.expr("substring(text, int(start + 1), int(end - start))"))).alias("digest"))
 
 
+def annotated_units(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks through a stand-in annotator: located, without duplicates, merged."""
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    return lifecycles.by_annotator(docs, lifecycles.ParagraphClient, 1500, 300, 100)
+
+
+def scorer_lifecycle(spark: SparkSession, d: str) -> DataFrame:
+    """Marked-up documents cleaned, scored and clustered."""
+    return lifecycles.by_scorer(spread(marked(table(spark, d, "documents"))), scoring.HashScorer, 5)[1]
+
+
 def text_names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", name_of(F.regexp_replace("url", "[?#].*", "")).alias("name"), report.name_from_stem(F.regexp_replace("url", "[?#].*", ""), "http://", "/").alias("stem"))
 
@@ -208,7 +220,7 @@ def text_names(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     marker_segments, segment_gaps, fixed_chunks, chunk_counts, smart_chunks, clean_text, clean_stats, html_escape, header_prefix, normalize_text, greedy_filter,
     build_records, record_totals, narrative_units, unit_summary, scored_tokens, inference_stats, boundary_tokens, offset_accuracy, boundary_positions, clusters_in_context,
-    mid_word, confidence_bands, boundary_colors, report_pages, locate_passages, resolve_units, parse_replies, prompts, text_names,
+    mid_word, confidence_bands, boundary_colors, report_pages, locate_passages, resolve_units, parse_replies, prompts, annotated_units, scorer_lifecycle, text_names,
 )}
 
 _BOUNDS_SQL = STARTS_SQL + ", bd AS (SELECT doc_id, id AS boundary_id, start AS char_start, \"end\" AS char_end, (header_len % 100) / 100.0::DOUBLE AS max_prob, text FROM segs)"

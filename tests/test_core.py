@@ -291,3 +291,37 @@ def test_stream(spark, tmp_path):
     stream = segment_stream(spark, str(tmp_path / "in"), segments.Segmenter(("that", "with"), "the", normalized=False))
     write_segments(stream, str(tmp_path / "out"), str(tmp_path / "mark")).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() > 0
+
+
+def test_annotator_lifecycle(spark):
+    from quillspark.plans import lifecycles
+
+    lines = [f"line {i} has {'some words ' * 8}and an end number {i * 7919}." for i in range(40)]
+    text = "\n".join(lines)
+    docs = spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id long, text string")
+    got = lifecycles.by_annotator(docs, lifecycles.ParagraphClient, 700, 200, 100).orderBy("unit_id").collect()
+    assert got and got[0].char_start == 0 and got[-1].char_end == len(text)
+    assert all(a.char_end <= b.char_start for a, b in zip(got, got[1:], strict=False))
+
+
+def test_command_line(spark, tmp_path):
+    from quillspark.__main__ import main
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("#META#Header#End#\none\n~~ two", encoding="utf-8")
+    main(["clean", str(tmp_path / "in"), str(tmp_path / "out")])
+    assert spark.read.text(str(tmp_path / "out"), wholetext=True).first().value == "one two\n"
+    main(["segment", str(tmp_path / "in"), str(tmp_path / "seg")])
+    assert spark.read.parquet(str(tmp_path / "seg" / "units")).count() == 0
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "a.json").write_text('{"khabar_boundaries": [{"boundary_id": 0, "char_start": 50, "char_end": 58, "max_prob": 0.9, "tokens": ["t"]}]}')
+    (tmp_path / "in2").mkdir()
+    (tmp_path / "in2" / "a.txt").write_text("x" * 50 + " header1 the body", encoding="utf-8")
+    main(["records", str(tmp_path / "in2"), str(tmp_path / "rec"), str(tmp_path / "c")])
+    assert spark.read.json(str(tmp_path / "rec")).first().body == "the body"
+    main(["report", str(tmp_path / "in2"), str(tmp_path / "rep"), str(tmp_path / "c")])
+    assert "header1" in spark.read.text(str(tmp_path / "rep"), wholetext=True).first().value
+    for name, at in (("p", 10), ("g", 60)):
+        (tmp_path / f"{name}.json").write_text(f'{{"narrative_units": [{{"unit_id": 0, "char_start": {at}}}]}}')
+    main(["compare", str(tmp_path / "p.json"), str(tmp_path / "cmp"), str(tmp_path / "g.json")])
+    assert spark.read.json(str(tmp_path / "cmp")).first().true_positives == 1
