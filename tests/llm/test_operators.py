@@ -402,6 +402,18 @@ def test_shared_folder_is_the_sessions(spark):
     assert _common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
 
 
+def test_intermediates_can_be_dropped(spark):
+    from quillspark.llm import _common
+
+    kept = _common.materialize(spark.range(3), "x")
+    path = _common._written[-1].removeprefix("file://")
+    assert kept.count() == 3 and os.path.isdir(path)
+    before, _common._written[:] = _common._written[:-1], _common._written[-1:]
+    _common.drop_intermediates(spark)
+    _common._written[:] = before
+    assert not os.path.exists(path)
+
+
 def test_the_rest_does_not_need_this_folder():
     import subprocess
     import sys
