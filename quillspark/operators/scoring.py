@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,17 +24,19 @@ class Scorer(Protocol):
     def __call__(self, texts: list[str]) -> list[list[tuple[str, int, int, float, float]]]: ...
 
 
+@functools.lru_cache(maxsize=200_000)
+def _logits(word: str) -> tuple[float, float]:
+    crc = zlib.crc32(word.encode())
+    return (crc % 997) / 100, (crc // 997 % 997) / 100
+
+
 class HashScorer:
     """A deterministic stand-in for a model: words and marks with logits from their crc32, in [CLS] and [SEP]."""
 
     words = re.compile(r"\w+|[^\w\s]")
 
     def __call__(self, texts: list[str]) -> list[list[tuple[str, int, int, float, float]]]:
-        def logits(word: str) -> tuple[float, float]:
-            crc = zlib.crc32(word.encode())
-            return (crc % 997) / 100, (crc // 997 % 997) / 100
-
-        return [[("[CLS]", 0, 0, 1.0, 0.0), *((m.group(), m.start(), m.end(), *logits(m.group())) for m in self.words.finditer(t)), ("[SEP]", 0, 0, 1.0, 0.0)] for t in texts]
+        return [[("[CLS]", 0, 0, 1.0, 0.0), *((m.group(), m.start(), m.end(), *_logits(m.group())) for m in self.words.finditer(t)), ("[SEP]", 0, 0, 1.0, 0.0)] for t in texts]
 
 
 def score_chunks(chunks: DataFrame, load: Callable[[], Scorer]) -> DataFrame:
@@ -41,13 +45,24 @@ def score_chunks(chunks: DataFrame, load: Callable[[], Scorer]) -> DataFrame:
     ``load`` runs once per task in the worker, so a model is read there from its path and scores a batch at a time.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["doc_id", "chunk_id", "chunk_start", *[c.split()[0] for c in TOKEN.split(", ")]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = load()
         for batch in batches:
-            rows = [(d, c, s, k, *token) for d, c, s, tokens in zip(batch["doc_id"], batch["chunk_id"], batch["start"], scorer(batch["text"].tolist()), strict=True) for k, token in enumerate(tokens)]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_id", "chunk_start", "tok", "token", "start", "end", "logit0", "logit1"])
-
-    return chunks.select("doc_id", "chunk_id", "start", "text").mapInPandas(run, "doc_id long, chunk_id long, chunk_start long, " + TOKEN)
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                scored = scorer(part.column(3).to_pylist())
+                counts = np.array([len(x) for x in scored], np.int64)
+                owner = pa.array(np.repeat(np.arange(len(scored)), counts))
+                place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+                columns = list(zip(*[t for x in scored for t in x], strict=True)) or [()] * 5
+                kinds = (pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.float64())
+                made = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*[part.column(k).take(owner) for k in range(3)], pa.array(place.astype(np.int32)), *made], names)
+
+    kept = chunks.select(F.col("doc_id").cast("long"), F.col("chunk_id").cast("long"), F.col("start").cast("long"), "text")
+    return kept.mapInArrow(run, "doc_id long, chunk_id long, chunk_start long, " + TOKEN)
 
 
 def argmax(logits: Column) -> Column:
