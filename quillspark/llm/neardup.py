@@ -119,16 +119,20 @@ def _fit(percent: int):
 
 
 def candidates(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(id, n, label, sketch) -> (hub pairs, neighbour pairs) as (a, b), each pair once."""
+    """(id, n, label, sketch) -> (hub pairs, neighbour pairs) as (a, b), each pair once.
+
+    What is counted by region or label is written before it is joined back, so that Spark can split a skewed side.
+    """
     trees = F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.substring("label", 4 * DEPTH * t + 1, 4 * DEPTH).alias("label")) for t in range(TREES)])).alias("t")
     rows = nodes.select("id", "n", "sketch", trees).select("id", "n", "sketch", "t.tree", "t.label", F.substring("t.label", 1, 4 * ROOT).alias("region"))
     shared = rows.groupBy("tree", "region").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    rows = materialize(rows.join(shared, ["tree", "region"]), "forest")
+    rows = materialize(rows.join(materialize(shared, "regions"), ["tree", "region"]), "forest")
     crowd = rows.where(F.col("size") > SMALL)
-    leaf = crowd.groupBy("tree", "label").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    leaf = materialize(crowd.groupBy("tree", "label").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "leaves")
     score = crowd.select("tree", "label", "id").join(leaf, ["tree", "label"]).groupBy("id").agg(F.sum("c").alias("score"))
     scored = crowd.select("tree", "region", "id", "n").join(score, "id")
     hubs = scored.groupBy("tree", "region").agg(F.max_by(F.struct("id", "n"), F.struct("score", -F.col("id"))).alias("hub"))
+    hubs = materialize(hubs, "hubs")
     pairs = crowd.select("tree", "region", F.col("id").alias("a"), F.col("n").alias("na")).join(hubs, ["tree", "region"])
     pairs = pairs.select("a", F.col("hub.id").alias("b"), "na", F.col("hub.n").alias("nb")).where("a <> b").where(_fit(percent)).select("a", "b").distinct()
     parts = max(1, rows.rdd.getNumPartitions(), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -139,7 +143,7 @@ def candidates(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
 
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int, k: int = 5) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough; ``texts`` is (id, text). A b with many pairs is spread by salt."""
-    load = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / HUB_PART).cast("int").alias("salts"))
+    load = materialize(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / HUB_PART).cast("int").alias("salts")), "hub-loads")
     left = pairs.join(load, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"))
     right = load.join(texts, load["b"] == texts["id"]).select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("text").alias("tb"))
     both = left.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(right, ["b", "salt"]).select("a", "b", "ta", "tb")
