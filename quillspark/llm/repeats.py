@@ -182,7 +182,7 @@ def removed_spans(data: DataFrame, length: int = LENGTH, q: int = Q) -> DataFram
     rest = materialize(rest, "rest")
     windows = materialize(_with_texts(texts, rest).mapInArrow(_finer(length, 1), RUN).select("did", "th", "id", "first", "own"), "windows")
     shared = windows.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("own")).where("n > 1 and own").select("id")
-    single = windows.where("own").join(shared, "id").select("did", "th", "first", F.col("first").alias("last"))
+    single = windows.where("own").join(materialize(shared, "shared-windows"), "id").select("did", "th", "first", F.col("first").alias("last"))
     spans = full.unionByName(more).unionByName(single)
     return materialize(spans.groupBy("did", "th").agg(F.collect_list(F.struct("first", "last")).alias("spans")), "spans")
 
