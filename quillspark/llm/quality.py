@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _kneser as K
@@ -69,8 +69,9 @@ def smoothed(counts: DataFrame) -> DataFrame:
         seen = grams.agg(*[F.count_if(F.col("c") == k).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)])
         y = F.when(F.col("n1") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(0.5)
         d = [F.greatest(F.lit(0.05), F.least(F.lit(float(k)), F.when(F.col(f"n{k}") > 0, k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")).otherwise(0.5 * k))).alias(f"d{k}") for k in (1, 2, 3)]
-        grams = grams.join(F.broadcast(seen.select(*d))).select((F.col("key") / K.SYMBOLS).cast("int").alias("context"), "key", "c", _discount(F.col("c")).alias("off"))
-        contexts = grams.groupBy("context").agg(F.sum("c").alias("total"), F.sum("off").alias("off_total"))
+        grams = grams.join(F.broadcast(seen.select(*d))).select((F.col("key") / K.SYMBOLS).cast("int").alias("context"), "key", "c", "d1", "d2", "d3", _discount(F.col("c")).alias("off"))
+        share = [F.count_if(F.col("c") == k if k < 3 else F.col("c") >= 3) * F.first(f"d{k}") for k in (1, 2, 3)]
+        contexts = grams.groupBy("context").agg(F.sum("c").alias("total"), (share[0] + share[1] + share[2]).alias("off_total"))
         joined = grams.join(contexts, "context")
         out.append(joined.select(F.lit(n).alias("n"), F.lit(True).alias("seen"), F.col("key").cast("int").alias("key"), ((F.col("c") - F.col("off")) / F.col("total")).alias("value")))
         out.append(contexts.select(F.lit(n), F.lit(False), F.col("context"), F.col("off_total") / F.col("total")))
@@ -111,10 +112,19 @@ def _bits_per_symbol(score: Column, base: Column) -> Column:
     return (score["bits"] + base * PRIOR) / (score["symbols"] + PRIOR)
 
 
+def _quantiles(values: DataFrame, *by: str) -> DataFrame:
+    """(by, x) -> by, limit. The quantiles are exact at thousandths of a bit, from counts, so that reruns agree."""
+    cells = values.groupBy(*by, F.floor(F.col("x") * 1000).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    whole = Window.partitionBy(*by)
+    cells = cells.withColumn("upto", F.sum("n").over(whole.orderBy("cell"))).withColumn("all_n", F.sum("n").over(whole))
+    at = lambda q: F.min(F.when(F.col("upto") >= F.ceil(F.col("all_n") * q), F.col("cell"))) / 1000
+    return cells.groupBy(*by).agg((at(HIGH) + MARGIN * (at(HIGH) - at(LOW))).alias("limit"))
+
+
 def language_limits(scored: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, lang, score) -> one row per language among all: lang, base, limit."""
     good = scored.join(trusted_ids(labels), "doc_id").select("lang", "score")
-    sums = [F.sum("score.bits").alias("bits"), F.sum("score.symbols").alias("symbols")]
+    sums = [(F.sum(F.round(F.col("score.bits") * 1000).cast("long")) / 1000).alias("bits"), F.sum("score.symbols").alias("symbols")]
     both = good.unionByName(good.withColumn("lang", F.lit(None).cast("string")).withColumn("all", F.lit(True)), allowMissingColumns=True)
     base = both.groupBy("lang", "all").agg(*sums, F.count(F.lit(1)).alias("n"))
     base = materialize(base.select("lang", "all", "n", F.when(F.col("symbols") > 0, F.col("bits") / F.col("symbols")).otherwise(0.0).alias("base")), "bases")
@@ -122,10 +132,9 @@ def language_limits(scored: DataFrame, labels: DataFrame) -> DataFrame:
     bases = base.where("all is null and lang is not null").where(F.col("n") >= FEW).select("lang", "base")
     rated = good.join(small(bases), "lang", "left").join(F.broadcast(whole)).select("lang", F.coalesce("base", "all_base").alias("base"), "score")
     rated = rated.select("lang", _bits_per_symbol(F.col("score"), F.col("base")).alias("x"))
-    spread = F.percentile_approx("x", [LOW, HIGH], 10_000)
-    limit = lambda q: (q[1] + MARGIN * (q[1] - q[0])).alias("limit")
-    of_all = rated.agg(spread.alias("q")).select(limit(F.col("q")))
-    by_lang = rated.groupBy("lang").agg(spread.alias("q")).select("lang", limit(F.col("q")))
+    rated = materialize(rated, "rated")
+    of_all = _quantiles(rated)
+    by_lang = _quantiles(rated, "lang")
     every = scored.select("lang").distinct().join(F.broadcast(whole.withColumn("one", F.lit(1))), how="left").join(F.broadcast(of_all.withColumnRenamed("limit", "all_limit")), how="left")
     every = every.join(bases.join(by_lang, "lang"), "lang", "left")
     return materialize(every.select("lang", F.coalesce("base", "all_base", F.lit(0.0)).alias("base"), F.coalesce("limit", "all_limit").alias("limit")), "limits")
