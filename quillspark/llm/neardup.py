@@ -3,9 +3,11 @@
 A text's set is its distinct runs of k words; equal sets are one node, the smallest doc_id. Each node gets
 TREES * DEPTH minimum hashes, cut into one label of DEPTH hashes per tree. Sorting a tree's labels puts texts that
 agree on long prefixes beside each other. A region is a run of labels sharing the first ROOT hashes; in a small
-region all pairs are candidates, in a crowded one the depth adapts: sorted neighbours (the longest common prefixes)
+region all pairs are candidates, in a crowded one at first sorted neighbours (the longest common prefixes)
 and the region's hub, the node whose full labels coincide with most others over all trees, as the base text of a
-group of edited copies does. So candidates grow with the number of texts, never with the square of a group.
+group of edited copies does. Crowded regions that these leave in several components are searched by an exact prefix
+join of their sets: similar enough sets share one of their first runs in any one order of all runs. Rare runs come first,
+and the places of a shared run bound what two sets can have in common.
 
 A neighbour pair whose minimum hashes agree too rarely for the wanted similarity, by over 4.5 standard deviations, is
 let go; four bits of each hash, the sketch, are enough to see that. Other candidates are confirmed on the full sets. Hub links come first; a neighbour pair is looked at only if its ends
@@ -18,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +37,8 @@ DEVIATIONS = 4.5
 ASKED = 1_000_000
 #: Links of one hub that go to a task of their own.
 HUB_PART = 500
+#: Counters, by the bits of a run's hash, that tell rare runs from common ones; any order of the runs is exact.
+COUNTERS = 20
 
 
 def signatures(docs: DataFrame, k: int = 5) -> DataFrame:
@@ -118,8 +123,8 @@ def _fit(percent: int):
     return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
 
 
-def candidates(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(id, n, label, sketch) -> (hub pairs, neighbour pairs) as (a, b), each pair once.
+def candidates(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, n, label, sketch) -> (hub pairs, neighbour pairs) as (a, b), each pair once, and the crowded regions as (tree, region, id).
 
     What is counted by region or label is written before it is joined back, so that Spark can split a skewed side.
     """
@@ -138,7 +143,7 @@ def candidates(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     parts = max(1, rows.rdd.getNumPartitions(), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     spread = rows.select("tree", "label", "id", "n", "sketch").repartitionByRange(parts, "tree", "label", "id").sortWithinPartitions("tree", "label", "id")
     near = spread.mapInArrow(_neighbours(percent), "a long, b long, na long, nb long").where(_fit(percent)).select("a", "b").distinct()
-    return materialize(pairs, "hub-pairs"), materialize(near, "near-pairs")
+    return materialize(pairs, "hub-pairs"), materialize(near, "near-pairs"), crowd.select("tree", "region", "id")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int, k: int = 5) -> DataFrame:
@@ -164,6 +169,68 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int, k: int = 5) -> Dat
     return both.mapInArrow(run, "a long, b long")
 
 
+def _counters(k: int):
+    """(text) -> how many sets hold a run, by counter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << COUNTERS, np.int64)
+        for batch in batches:
+            for part in T.pieces(batch, "text"):
+                for mine in T.distinct_shingles(part.column(batch.schema.get_field_index("text")), k):
+                    np.add.at(total, (mine >> np.uint64(64 - COUNTERS)).astype(np.int64), 1)
+        held = np.flatnonzero(total)
+        for start in range(0, len(held), 1 << 16):
+            some = held[start : start + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["counter", "n"])
+
+    return run
+
+
+def _prefixes(counts: Broadcast, percent: int, k: int):
+    """(id, c, text) -> the runs that come first in each set, and whether a smaller set of a similar enough pair must share one of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in T.pieces(batch, "text"):
+                ids, c = part.column(0).to_numpy(), part.column(1).to_numpy()
+                runs, sizes, wanted = [], [], []
+                for mine in T.distinct_shingles(part.column(2), k):
+                    n = len(mine)
+                    first = n + (-percent * n) // 100 + 1
+                    order = np.lexsort((mine, counts.value[(mine >> np.uint64(64 - COUNTERS)).astype(np.int64)]))[:first]
+                    runs.append(mine[order])
+                    sizes.append(n)
+                    wanted.append(n + (-2 * percent * n) // (100 + percent) + 1)
+                if not runs:
+                    continue
+                each = np.array([len(r) for r in runs])
+                place = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+                columns = [np.concatenate(runs).view(np.int64), np.repeat(ids, each), np.repeat(c, each), np.repeat(sizes, each), place, place < np.repeat(wanted, each)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["run", "id", "c", "n", "place", "indexed"])
+
+    return run
+
+
+def prefix_pairs(texts: DataFrame, percent: int, k: int = 5) -> DataFrame:
+    """(id, c, text) -> (a, b): no pair of unlike c whose sets are similar enough is missing.
+
+    Of such a pair the larger set shares one of its first n - percent * n + 1 runs, the smaller one, whose number wanted in common
+    is larger by its share, one of fewer. Runs that only one c has are dropped before the join.
+    """
+    total = texts.select("text").mapInArrow(_counters(k), "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << COUNTERS, np.int64)
+    counts[total.column("counter").to_numpy()] = total.column("n").to_numpy()
+    order = texts.sparkSession.sparkContext.broadcast(counts)
+    first = materialize(texts.select("id", "c", "text").mapInArrow(_prefixes(order, percent, k), "run long, id long, c long, n long, place long, indexed boolean"), "prefixes")
+    mixed = first.groupBy("run").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("run")
+    rows = materialize(first.join(materialize(mixed, "mixed-runs"), "run"), "mixed-prefixes")
+    side = lambda c: rows.select("run", *[F.col(x).alias(x + c) for x in ("id", "c", "n", "place", "indexed")])
+    enough = (100 + percent) * F.least(F.col("nx") - F.col("placex"), F.col("ny") - F.col("placey")) >= percent * (F.col("nx") + F.col("ny"))
+    larger = (F.col("nx") > F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("idx") > F.col("idy")))
+    met = side("x").join(side("y").where("indexedy"), "run").where((F.col("cx") != F.col("cy")) & larger & enough)
+    return met.select(F.col("idx").alias("a"), F.col("idy").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable over links), kept.
 
@@ -176,7 +243,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame
     named = made.where("n_shingles > 0 and doc_id is not null")
     first = materialize(named.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("id")), "sets")
     nodes = named.select(F.col("doc_id").alias("id"), "d1", "d2", F.col("n_shingles").alias("n"), "label", "sketch").join(first.select("id", "d1", "d2"), ["id", "d1", "d2"]).dropDuplicates(["id", "d1", "d2"])
-    hubs, near = candidates(nodes.select("id", "n", "label", "sketch"), percent)
+    hubs, near, crowd = candidates(nodes.select("id", "n", "label", "sketch"), percent)
     pairs = hubs.unionByName(near)
     asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(small(materialize(asked, "asked"), ASKED), "id").dropDuplicates(["id"])
@@ -187,6 +254,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame
     more = confirm(materialize(open_, "open-pairs"), texts, percent, k)
     stars = links.select(F.col("id").alias("a"), F.col("component_id").alias("b"))
     found = connected_components(materialize(more, "near-links").unionByName(stars))
+    at = found.select("id", F.col("component_id").alias("c"))
+    crowd = crowd.join(at, "id", "left").select("tree", "region", "id", F.coalesce("c", "id").alias("c"))
+    split = crowd.groupBy("tree", "region").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("tree", "region")
+    rest = materialize(crowd.join(materialize(split, "split-regions"), ["tree", "region"]).select("id", "c").distinct(), "split-nodes")
+    if not rest.isEmpty():
+        texts = materialize(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(small(rest, ASKED), "id").dropDuplicates(["id"]), "split-texts")
+        pairs = materialize(prefix_pairs(texts, percent, k), "prefix-pairs")
+        more = materialize(confirm(pairs, texts.select("id", "text"), percent, k), "prefix-links")
+        if not more.isEmpty():
+            found = connected_components(more.unionByName(found.select(F.col("id").alias("a"), F.col("component_id").alias("b"))))
     group = first.join(found, "id", "left").select("d1", "d2", "n_shingles", F.coalesce("component_id", "id").alias("group"))
     rows = made.select("doc_id", "n_shingles", "d1", "d2").join(group, ["d1", "d2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("group", "doc_id")).alias("component_id")

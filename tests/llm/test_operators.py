@@ -375,6 +375,14 @@ def test_group_of_edited_copies(spark):
     same_as_sql(neardup.near_duplicates(frame), neardup.OP10_SQL, documents=arrow(frame, "doc_id", "text"))
 
 
+def test_twins_in_a_family_below_the_threshold(spark):
+    form = [f"form{i}" for i in range(104)]
+    text = lambda name, shared, other: " ".join(form + [f"{name}own{i}" for i in range(shared)] + [f"{name}{other}own{i}" for i in range(shared, 13)])
+    rows = [(i, text(f"t{i}", 4, "a")) for i in range(60)] + [(5000 + i, text(f"t{i}", 4, "b")) for i in range(60)] + [(1000 + i, text(f"s{i}", 0, "a")) for i in range(200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    same_as_sql(neardup.near_duplicates(frame), neardup.OP10_SQL, documents=arrow(frame, "doc_id", "text"))
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 90), (90, 95), (7, 7), (50, 50), (200, 3)]
     got = dict(components.connected_components(spark.createDataFrame(links, "a long, b long")).collect())
