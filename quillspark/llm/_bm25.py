@@ -33,10 +33,24 @@ def _runs(text: str) -> np.ndarray:
     return np.unique(T.shingles(hashes, by_row, min(RUN, max(1, len(hashes))))[0])
 
 
+def unit_terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, number of words, distinct terms) of a column's units, one entry per unit and term; the number is 0 but at a unit's first."""
+    hashes, _, _, by_row = T.words(*T.utf8(column), T.PUNCTUATION)
+    rows, sizes, terms = [], [], []
+    for i in range(len(column)):
+        for a in range(by_row[i], by_row[i + 1], UNIT):
+            words = hashes[a : min(a + UNIT, by_row[i + 1])]
+            terms.append(np.unique(words))
+            rows.append(np.full(len(terms[-1]), i))
+            sizes.append(np.append(len(words), np.zeros(len(terms[-1]) - 1, np.int64)))
+    return (np.concatenate(rows), np.concatenate(sizes), np.concatenate(terms)) if terms else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+
+
 class Index:
     """Postings in unit order, with the greatest impact of every block of BLOCK postings and of every term."""
 
-    def __init__(self, ids: list, texts: list[str | None], threshold: float = 0.6) -> None:
+    def __init__(self, ids: list, texts: list[str | None], threshold: float = 0.6, statistics: tuple[int, float, dict[int, int]] | None = None) -> None:
+        """``statistics``: number of units, their mean length and units by term of the whole benchmark, if this index has a part of it."""
         self.ids, self.threshold = ids, threshold
         parts = [split_item(t or "") for t in texts]
         self.parts = [tuple(_runs(x) if x else None for x in p) for p in parts]
@@ -46,13 +60,15 @@ class Index:
         self.item = np.array([i for i, _ in units], np.int64)
         postings: dict[int, list[tuple[int, float]]] = {}
         mean = float(np.mean([len(w) for _, w in units])) if units else 1.0
+        total, mean, having = statistics or (len(units), mean, {})
         for u, (_, words) in enumerate(units):
             terms, tf = np.unique(words, return_counts=True)
             for t, f in zip(terms.tolist(), tf.tolist(), strict=True):
                 postings.setdefault(t, []).append((u, f * (K1 + 1) / (f + K1 * (1 - B + B * len(words) / mean))))
         self.terms = np.array(sorted(postings), np.uint64)
         lists = [postings[t] for t in self.terms.tolist()]
-        weight = [np.log(1 + (len(units) - len(p) + 0.5) / (len(p) + 0.5)) for p in lists]
+        df = [having.get(t, len(p)) for t, p in zip(self.terms.tolist(), lists, strict=True)]
+        weight = [np.log(1 + (total - n + 0.5) / (n + 0.5)) for n in df]
         whole = np.zeros(len(units))
         for w, p in zip(weight, lists, strict=True):
             for u, f in p:

@@ -1,7 +1,8 @@
 """Benchmark decontamination: every passage of the corpus is a query to a BM25 index of the benchmark.
 
 The index is built once for a shard of the benchmark, whose size is checked, and goes to the tasks; texts are scanned where they
-are and never shuffled. A larger benchmark is cut into shards, each with a scan of its own.
+are and never shuffled. A larger benchmark is cut into shards, each with a scan of its own; term weights are those of the whole
+benchmark in every shard.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._bm25 import Index
-from ._common import table
+from ._bm25 import Index, unit_terms
+from ._common import materialize, table
 
 #: Bytes of item texts in a shard of the index, about; one longer item is a shard.
 SHARD_BYTES = 8 << 20
@@ -27,9 +28,27 @@ def index_shards(benchmark: DataFrame, threshold: float = THRESHOLD, shard_bytes
     items = benchmark.select("item_id", "text").where("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = -(-size // shard_bytes)
+    items = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, shards))).cast("int"))
+    if shards > 1:
+        terms = materialize(items.select("shard", "text").mapInArrow(_terms, "shard int, term long, words long"), "benchmark-terms")
+        total, words = terms.agg(F.count_if(F.col("words") > 0), F.sum("words")).first()
+        having = materialize(terms.groupBy("term").agg(F.count(F.lit(1)).alias("n")), "benchmark-having")
     for k in range(shards):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k).orderBy("item_id", "text").collect()
-        yield benchmark.sparkSession.sparkContext.broadcast(Index([r[0] for r in rows], [r[1] for r in rows], threshold))
+        rows = items.where(F.col("shard") == k).orderBy("item_id", "text").collect()
+        statistics = None
+        if shards > 1 and total:
+            mine = having.join(terms.where(F.col("shard") == k).select("term").distinct(), "term").toArrow()
+            known = mine.column("term").combine_chunks().to_numpy(zero_copy_only=False).view("uint64").tolist()
+            statistics = (total, words / total, dict(zip(known, mine.column("n").to_pylist(), strict=True)))
+        yield benchmark.sparkSession.sparkContext.broadcast(Index([r[0] for r in rows], [r[1] for r in rows], threshold, statistics))
+
+
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shard, text) -> one row per unit and distinct term, the unit's number of words at its first."""
+    for batch in batches:
+        for part in T.pieces(batch, "text"):
+            row, words, terms = unit_terms(part.column(1))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(terms.view("int64")), pa.array(words)], ["shard", "term", "words"])
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -286,6 +286,16 @@ def test_wand_against_all_scores():
                 assert a in starts
 
 
+def test_shards_score_like_one_index(spark):
+    items = [(i, prose(40 + i, 300 + i) + ". " + prose(8, 400 + i)) for i in range(30)]
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    texts = pa.array([near(t, 6, i) for i, t in items])
+    cells = lambda index: [(r, i, round(s, 9)) for r, i, s, _, _ in index.search(texts)]
+    shards = [b.value for b in decontaminate.index_shards(frame, shard_bytes=3000)]
+    whole = cells(_bm25.Index(*zip(*items, strict=True)))
+    assert len(shards) > 1 and whole and sorted(x for s in shards for x in cells(s)) == sorted(whole)
+
+
 def test_leaks(spark, odd):
     rare = lambda n, s: " ".join(f"w{(s * 977 + i * 31) % 5000}" for i in range(n))
     items = [(i, f"{rare(25, i)}? Yes. {rare(6, 900 + i)}.") for i in range(30)] + [(30, None), (31, ""), (32, rare(150, 77)), (33, "...")]
