@@ -160,6 +160,16 @@ def test_copies_against_all_pairs(spark):
     assert media.find_copies(spark.createDataFrame([], kind), spark.createDataFrame(rows, kind)).count() == 0
 
 
+def test_unlike_images_with_one_thumbnail(spark):
+    rng, slope = np.random.default_rng(5), np.linspace(-90, 90, 64)[:, None]
+    images = {i: 128 + slope + (_images.texture(rng.normal(size=32)) - 128) * 0.25 for i in range(24)}
+    kind = "id long, media binary"
+    rows = [(i, _images.write_pgm(x)) for i, x in images.items()]
+    queries = [(i, _images.write_pgm(_images.edited(x, i))) for i, x in images.items()]
+    got = media.find_copies(spark.createDataFrame(queries, kind), spark.createDataFrame(rows, kind)).collect()
+    assert len({(r.query_id, r.match_id) for r in got if r.query_id == r.match_id}) >= 0.8 * len(images)
+
+
 # 5 urls
 
 
