@@ -41,15 +41,20 @@ HUB_PART = 500
 COUNTERS = 20
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, th, text): rows of one doc_id are told apart by a hash of their text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+
+
 def signatures(docs: DataFrame, k: int = 5) -> DataFrame:
-    """(doc_id, text) -> doc_id, n_shingles, two digests of the set, and the minimum hashes and their sketch as bytes (null for an empty set)."""
+    """(doc_id, text) -> doc_id, th (a hash of the text), n_shingles, two digests of the set, and the minimum hashes and their sketch as bytes (null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, (2, TREES * DEPTH), dtype=np.uint64)
         seeds[0] |= np.uint64(1)
         for batch in batches:
             for part in T.pieces(batch, "text"):
-                sets = T.distinct_shingles(part.column(1), k)
+                sets = T.distinct_shingles(part.column(2), k)
                 size = np.array([len(s) for s in sets], np.int64)
                 full = np.flatnonzero(size)
                 digest = np.zeros((2, len(sets)), np.uint64)
@@ -68,11 +73,11 @@ def signatures(docs: DataFrame, k: int = 5) -> DataFrame:
                     for row, i in enumerate(full):
                         labels[i], sketches[i] = least[row].tobytes(), low[row].tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(size), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)), pa.array(labels, pa.binary()), pa.array(sketches, pa.binary())],
-                    ["doc_id", "n_shingles", "d1", "d2", "label", "sketch"],
+                    [part.column(0), part.column(1), pa.array(size), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)), pa.array(labels, pa.binary()), pa.array(sketches, pa.binary())],
+                    ["doc_id", "th", "n_shingles", "d1", "d2", "label", "sketch"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, label binary, sketch binary")
+    return _keyed(docs).mapInArrow(run, "doc_id long, th long, n_shingles long, d1 long, d2 long, label binary, sketch binary")
 
 
 def least_agreement(percent: int) -> int:
@@ -231,23 +236,21 @@ def prefix_pairs(texts: DataFrame, percent: int, k: int = 5) -> DataFrame:
     return met.select(F.col("idx").alias("a"), F.col("idy").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable over links), kept.
-
-    Two texts are linked if their sets of k-word runs (A-Z lower-cased, words split at ASCII white space) have
-    100 * common >= percent * union. Defined cases: null text, empty text or one without words has the empty set and
-    no link; fewer than k words are one run; equal sets are linked; rows with null doc_id have no link, a null
-    component_id and are kept; rows that share a doc_id share their links; an empty table gives no row; extra columns are ignored.
-    """
+def _grouped(docs: DataFrame, percent: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """(signatures without their hashes, sets): each distinct set with its first row as (doc_id, th) and the first row of its component as (group_id, group_th)."""
     made = materialize(signatures(docs, k), "signatures")
     named = made.where("n_shingles > 0 and doc_id is not null")
-    first = materialize(named.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("id")), "sets")
-    nodes = named.select(F.col("doc_id").alias("id"), "d1", "d2", F.col("n_shingles").alias("n"), "label", "sketch").join(first.select("id", "d1", "d2"), ["id", "d1", "d2"]).dropDuplicates(["id", "d1", "d2"])
+    sets = named.groupBy("d1", "d2", "n_shingles").agg(F.min(F.struct("doc_id", "th")).alias("first"))
+    sets = materialize(sets.select("d1", "d2", "n_shingles", "first.doc_id", "first.th", F.monotonically_increasing_id().alias("id")), "sets")
+    nodes = named.select("doc_id", "th", "d1", "d2", F.col("n_shingles").alias("n"), "label", "sketch").join(sets.select("id", "doc_id", "th", "d1", "d2"), ["doc_id", "th", "d1", "d2"]).dropDuplicates(["id"])
     hubs, near, crowd = candidates(nodes.select("id", "n", "label", "sketch"), percent)
+
+    def texts_of(ids: DataFrame, *columns: str) -> DataFrame:
+        rows = small(materialize(ids.join(sets.select("id", "doc_id", "th"), "id"), "asked"), ASKED)
+        return materialize(_keyed(docs).join(rows, ["doc_id", "th"]).dropDuplicates(["id"]).select("id", *columns, "text"), "texts")
+
     pairs = hubs.unionByName(near)
-    asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(small(materialize(asked, "asked"), ASKED), "id").dropDuplicates(["id"])
-    texts = materialize(texts, "texts")
+    texts = texts_of(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
     links = connected_components(confirm(hubs, texts, percent, k))
     at = lambda c: links.select(F.col("id").alias(c), F.col("component_id").alias("c" + c))
     open_ = near.join(at("a"), "a", "left").join(at("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
@@ -259,26 +262,45 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame
     split = crowd.groupBy("tree", "region").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("tree", "region")
     rest = materialize(crowd.join(materialize(split, "split-regions"), ["tree", "region"]).select("id", "c").distinct(), "split-nodes")
     if not rest.isEmpty():
-        texts = materialize(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(small(rest, ASKED), "id").dropDuplicates(["id"]), "split-texts")
+        texts = texts_of(rest, "c")
         pairs = materialize(prefix_pairs(texts, percent, k), "prefix-pairs")
         more = materialize(confirm(pairs, texts.select("id", "text"), percent, k), "prefix-links")
         if not more.isEmpty():
             found = connected_components(more.unionByName(found.select(F.col("id").alias("a"), F.col("component_id").alias("b"))))
-    group = first.join(found, "id", "left").select("d1", "d2", "n_shingles", F.coalesce("component_id", "id").alias("group"))
-    rows = made.select("doc_id", "n_shingles", "d1", "d2").join(group, ["d1", "d2", "n_shingles"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("group", "doc_id")).alias("component_id")
+    member = sets.join(found, "id", "left").select("d1", "d2", "n_shingles", "doc_id", "th", F.coalesce("component_id", "id").alias("c"))
+    member = materialize(member, "members")
+    group = materialize(member.groupBy("c").agg(F.min(F.struct("doc_id", "th")).alias("first")).select("c", F.col("first.doc_id").alias("group_id"), F.col("first.th").alias("group_th")), "groups")
+    return made.drop("label", "sketch"), member.join(group, "c").drop("c")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable over links), kept.
+
+    Two texts are linked if their sets of k-word runs (A-Z lower-cased, words split at ASCII white space) have
+    100 * common >= percent * union. Defined cases: null text, empty text or one without words has the empty set and
+    no link; fewer than k words are one run; equal sets are linked; rows with null doc_id have no link, a null
+    component_id and are kept; rows that share a doc_id but not a text are linked by their own texts each; very long texts
+    are one set like others; an empty table gives no row; extra columns are ignored.
+    """
+    made, sets = _grouped(docs, percent, k)
+    rows = made.select("doc_id", "n_shingles", "d1", "d2").join(sets.select("d1", "d2", "n_shingles", "group_id"), ["d1", "d2", "n_shingles"], "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("group_id", "doc_id")).alias("component_id")
     return rows.select("doc_id", "n_shingles", component, F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
-    """``docs`` with one document of each group, its smallest doc_id; columns as they are.
+    """``docs`` with one document of each group, the one of the smallest doc_id (and then text hash); columns as they are.
 
-    Repeated rows of one doc_id become one; rows with null doc_id stay.
+    Rows that share doc_id and text become one; rows that share a doc_id but not a text are documents of their own; rows with
+    null doc_id, and documents without words but for repeated rows, stay. Very long texts are treated whole.
     """
-    judged = materialize(near_duplicates(docs, percent, k), "near-duplicates")
-    gone = judged.where("not kept").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    made, sets = _grouped(docs, percent, k)
+    first = (F.col("doc_id") == F.col("group_id")) & (F.col("th") == F.col("group_th"))
+    rows = made.where("doc_id is not null").join(sets.select("d1", "d2", "n_shingles", "group_id", "group_th"), ["d1", "d2", "n_shingles"], "left")
+    gone = materialize(rows.where(~F.coalesce(first, F.lit(True))).select("doc_id", "th").distinct(), "near-duplicates")
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"))
+    kept = row.where("doc_id is not null").join(gone, ["doc_id", "th"], "left_anti").dropDuplicates(["doc_id", "th"])
+    return kept.select("row.*").unionByName(row.where("doc_id is null").select("row.*"))
 
 
 def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

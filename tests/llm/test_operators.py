@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import os
+import random
 import re
 import zlib
 
@@ -403,6 +404,29 @@ def test_twins_in_a_family_below_the_threshold(spark):
     same_as_sql(neardup.near_duplicates(frame), neardup.OP10_SQL, documents=arrow(frame, "doc_id", "text"))
 
 
+def test_twins_around_a_large_group(spark):
+    """Twins that are like each other and only less so like the base of a crowded group; ids in no order."""
+    base, rng = prose(400, 9), random.Random(4)
+    texts = [base] + [near(base, 1, i) for i in range(600)]
+    for i in range(300):
+        one = near(base, 5, 1000 + i)
+        texts += [near(one, 3, 2000 + i), near(one, 3, 3000 + i)]
+    ids = list(range(len(texts)))
+    rng.shuffle(ids)
+    frame = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(4)
+    same_as_sql(neardup.near_duplicates(frame), neardup.OP10_SQL, documents=arrow(frame, "doc_id", "text"))
+
+
+def test_texts_that_share_an_id(spark):
+    a, b, c = prose(80, 1), prose(80, 2), prose(80, 3)
+    rows = [(1, a), (2, b), (2, near(a, 1, 1)), (3, near(b, 1, 2)), (3, c), (4, c), (2, b)]
+    frame = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, `a.b` string")
+    got = sorted((r.doc_id, r.component_id) for r in neardup.near_duplicates(frame).collect())
+    assert got == [(1, 1), (2, 1), (2, 2), (2, 2), (3, 2), (3, 3), (4, 3)]
+    kept = neardup.deduplicate(frame)
+    assert kept.columns == frame.columns and sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(1, a), (2, b), (3, c)])
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 90), (90, 95), (7, 7), (50, 50), (200, 3)]
     got = dict(components.connected_components(spark.createDataFrame(links, "a long, b long")).collect())
