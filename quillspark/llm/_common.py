@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -42,11 +42,26 @@ def release(spark: SparkSession) -> None:
 _written: list[str] = []
 
 
-def drop_intermediates(spark: SparkSession) -> None:
-    """Deletes the tables that ``materialize`` has written in this process, for when no result needs them any more."""
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+def written() -> int:
+    """How many tables are written so far: a mark for ``drop_intermediates``."""
+    return len(_written)
+
+
+def note_written(path: str) -> None:
+    """Count a folder that an operator wrote itself among the intermediate tables."""
+    _written.append(path)
+
+
+def drop_intermediates(spark: SparkSession, since: int = 0, keep: tuple[DataFrame, ...] = ()) -> None:
+    """Deletes the tables written after the mark ``since`` but for those that ``materialize`` returned as ``keep``.
+
+    For tables that no result reads any more. Nothing is recomputed from them: what was made of them has been written itself.
+    """
+    held = {df.__dict__.get("_written_at") for df in keep}
+    for name in [p for p in _written[since:] if p not in held]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _written.remove(name)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -54,12 +69,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append(path)
+    note_written(path)
     out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_written_at"] = path
     release(spark)
     return out
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as one struct, whatever their names."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
+
+
 def small(df: DataFrame, rows: int = 50_000) -> DataFrame:
     """``df`` with a broadcast hint, if a count proves it to have at most ``rows`` rows.
 

@@ -55,11 +55,14 @@ def collapse_and_render(turns: DataFrame) -> DataFrame:
 
     Defined cases: turns sort by number with null first, ties by role, then text; null role or text is empty; rows
     with a null conv_id are one conversation; repeated rows are turns of their own; an empty table gives no row; extra
-    columns are ignored. A conversation becomes one rendered row, so its turns meet in one task.
+    columns are ignored. Very long texts are hashed and rendered whole. A conversation becomes one rendered row, so its turns
+    meet in one task; only the turns of conversations that stay are gathered and rendered.
     """
-    kept = maximal_conversations(turns)
-    same = F.col("k.conv_id").eqNullSafe(F.col("r.conv_id"))
-    return kept.alias("k").join(render(turns).alias("r"), same).select("k.conv_id", "n_turns", "n_equal", "rendered")
+    kept = materialize(maximal_conversations(turns), "chat-kept")
+    same = F.col("k.conv_id").eqNullSafe(F.col("t.conv_id"))
+    mine = turns.select("conv_id", "turn", "role", "text").alias("t").join(kept.select("conv_id").alias("k"), same, "left_semi")
+    rows = kept.alias("k").join(render(mine).alias("t"), same)
+    return rows.select("k.conv_id", "n_turns", "n_equal", "rendered")
 
 
 def op6_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:

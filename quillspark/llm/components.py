@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import drop_intermediates, materialize, written
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -32,7 +32,9 @@ def connected_components(links: DataFrame) -> DataFrame:
     now = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
     seen = None
     while True:
+        mark = written() - 1  # the links of the round before
         now = materialize(_small_star(_large_star(now)), "links")
+        drop_intermediates(links.sparkSession, mark, (now,))
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             return now.select(F.col("a").alias("id"), F.col("b").alias("component_id")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component_id"))).distinct()

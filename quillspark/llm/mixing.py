@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import materialize, small, table
+from ._common import materialize, small, table, whole_row
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Buckets for a unit of the logarithm of the rank.
@@ -111,7 +111,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int
     """
     key, size, rank = _ranked(docs, seed, preference)
     plan = mix_plan(materialize(docs.select(key.alias("key"), size.alias("size"), rank.alias("rank")), "mix-ranks"), weights, cap)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key"), size.alias("size"), rank.alias("rank"))
+    rows = docs.select(whole_row(docs).alias("row"), key.alias("key"), size.alias("size"), rank.alias("rank"))
     rows = rows.join(small(plan.select("key", "whole", "cut_bucket", "cut_rank")), "key")
     return rows.withColumn("copies", _copies()).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._common import materialize, small, table
+from ._common import drop_intermediates, materialize, small, table, whole_row, written
 from .components import connected_components
 
 TREES, DEPTH, ROOT = 16, 6, 3
@@ -238,6 +238,7 @@ def prefix_pairs(texts: DataFrame, percent: int, k: int = 5) -> DataFrame:
 
 def _grouped(docs: DataFrame, percent: int, k: int) -> tuple[DataFrame, DataFrame]:
     """(signatures without their hashes, sets): each distinct set with its first row as (doc_id, th) and the first row of its component as (group_id, group_th)."""
+    mark = written()
     made = materialize(signatures(docs, k), "signatures")
     named = made.where("n_shingles > 0 and doc_id is not null")
     sets = named.groupBy("d1", "d2", "n_shingles").agg(F.min(F.struct("doc_id", "th")).alias("first"))
@@ -270,6 +271,7 @@ def _grouped(docs: DataFrame, percent: int, k: int) -> tuple[DataFrame, DataFram
     member = sets.join(found, "id", "left").select("d1", "d2", "n_shingles", "doc_id", "th", F.coalesce("component_id", "id").alias("c"))
     member = materialize(member, "members")
     group = materialize(member.groupBy("c").agg(F.min(F.struct("doc_id", "th")).alias("first")).select("c", F.col("first.doc_id").alias("group_id"), F.col("first.th").alias("group_th")), "groups")
+    drop_intermediates(docs.sparkSession, mark, (made, member, group))
     return made.drop("label", "sketch"), member.join(group, "c").drop("c")
 
 
@@ -298,7 +300,7 @@ def deduplicate(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
     first = (F.col("doc_id") == F.col("group_id")) & (F.col("th") == F.col("group_th"))
     rows = made.where("doc_id is not null").join(sets.select("d1", "d2", "n_shingles", "group_id", "group_th"), ["d1", "d2", "n_shingles"], "left")
     gone = materialize(rows.where(~F.coalesce(first, F.lit(True))).select("doc_id", "th").distinct(), "near-duplicates")
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"))
+    row = docs.select(whole_row(docs).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"))
     kept = row.where("doc_id is not null").join(gone, ["doc_id", "th"], "left_anti").dropDuplicates(["doc_id", "th"])
     return kept.select("row.*").unionByName(row.where("doc_id is null").select("row.*"))
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import _codec
 from . import _text as T
-from ._common import release, shared_dir, small, table
+from ._common import materialize, note_written, release, shared_dir, small, table
 
 #: Ids after which a block is closed, at the end of a document.
 BLOCK_IDS = 1 << 21
@@ -219,8 +219,11 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
                 yield pa.RecordBatch.from_arrays(columns, kinds)
 
     blocks = spark.read.schema(BLOCKS).parquet(path)
-    before = Window.orderBy("part", "block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.select("part", "block", "n_ids").withColumn("before", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).drop("n_ids")
+    parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))  # one row per task that wrote
+    parts = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    inside = F.sum("n_ids").over(Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = blocks.select("part", "block", F.coalesce(inside, F.lit(0)).alias("inside")).join(parts, "part").select("part", "block", (F.col("base") + F.col("inside")).alias("before"))
+    offsets = materialize(offsets, "token-offsets")
     rows = blocks.select("part", "block", "data").mapInArrow(run, "part int, block int, doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
     return rows.join(small(offsets), ["part", "block"]).select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
@@ -230,6 +233,7 @@ def token_round_trip(docs: DataFrame, tokenizer: str | None = None, end_id: int
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write_tokens(docs, path, tokenizer or word_tokenizer(), end_id)
+    note_written(path)
     release(spark)
     return read_tokens(spark, path)
 

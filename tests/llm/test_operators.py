@@ -175,7 +175,7 @@ def test_unlike_images_with_one_thumbnail(spark):
 
 
 def test_urls_of_odd_rows(spark):
-    links = ["http://A.Example.net/en/x?q", "https://b.example.net/fr", "http://x.net", "http://org/fr/", "http://a.ORG/fr/1#t", "http://example.com/de/1", "nothing", None, "", "http://", "a://b://c/d", "http://anet/", "http://s.co.uk/x", "http://t.s.co.uk/x", "http://x.example.net:80/en/\n"]
+    links = ["http://A.Example.net/en/x?q", "https://b.example.net/fr", "http://x.net", "http://org/fr/", "http://a.ORG/fr/1#t", "http://example.com/de/1", "nothing", None, "", "http://", "a://b://c/d", "http://anet/", "http://s.co.uk/x", "http://t.s.co.uk/x", "http://x.example.net:80/en/\n", "http://me:pw@x.co.nz:8080/", "http://y.gov.uk./", "http://" + "a." * 20_000 + "gov.uk/" + "p" * 50_000]
     pages = spark.createDataFrame([(i, u, "k") for i, u in enumerate(links * 3)] + [(None, "http://q.com/", "k")], "page_id long, url string, host string")
     labels = spark.createDataFrame([(i, i % 2, i % 3 == 0) for i in range(30)] + [(3, 0, True), (None, 0, True), (4, None, None)], "doc_id long, quality int, toxic boolean").withColumn("toxic", F.col("toxic").cast("int"))
     rows = urls.judge_urls(pages, labels).select("page_id", "host", "path", "rule", "verdict", F.round("bad_rate", 6).alias("bad_rate"), F.round("bad_bound", 6).alias("bad_bound"))
@@ -183,6 +183,10 @@ def test_urls_of_odd_rows(spark):
     got = {r.page_id: r for r in rows.collect()}
     assert (got[0].host, got[0].path, got[0].rule, got[0].verdict) == ("a.example.net", "/en/x", "example.net/en/", "allow")
     assert got[2].rule is None and got[3].rule == "org/fr/" == got[4].rule and got[11].rule is None and got[10].host == "b:"
+    assert got[15].host == "me:pw@x.co.nz:8080"
+    sites = spark.createDataFrame([("x.gov.uk",), ("gov.uk",), ("a.b.city.jp",), ("com",), ("",)], "site string")
+    known = urls.suffix_table(spark).union(spark.createDataFrame([("b.city.jp",)], "suffix string"))
+    assert {r.site: (r.suffix, r.domain) for r in urls.with_domains(sites, known).collect()} == {"x.gov.uk": ("gov.uk", "x.gov.uk"), "gov.uk": ("gov.uk", "gov.uk"), "a.b.city.jp": ("b.city.jp", "a.b.city.jp"), "com": ("com", "com"), "": ("", "")}
     assert urls.judge_urls(pages.limit(0), labels).count() == 0 and urls.judge_urls(pages, labels.limit(0)).count() == pages.count()
 
 
@@ -199,6 +203,8 @@ def test_chat_of_odd_rows(spark):
     found = {r.conv_id: (r.n_turns, r.n_equal) for r in got.collect()}
     assert found[2] == (4, 2) and 1 not in found and 3 not in found and 4 not in found and None in found
     assert chat.collapse_and_render(frame.limit(0)).count() == 0
+    long = spark.createDataFrame([(1, 0, "user", "y" * 300_000), (2, 0, "user", "y" * 300_000), (2, 1, "user", "z")], "conv_id long, turn long, role string, text string")
+    assert [(r.conv_id, len(r.rendered)) for r in chat.collapse_and_render(long).collect()] == [(2, 300_000 + 1 + 2 * len("<|user|>\n<|end|>\n"))]
 
 
 # 7 quality
@@ -307,6 +313,54 @@ def test_shards_score_like_one_index(spark):
     assert len(shards) > 1 and whole and sorted(x for s in shards for x in cells(s)) == sorted(whole)
 
 
+def restated_leaks(docs, items):
+    """Every unit of every item against every passage of every document, by dictionaries."""
+    split = lambda t: re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", (t or "").lower())
+    runs = lambda w, n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+    units = [(i, w[a : a + 64]) for i, t in items for w in [split(t)] for a in range(0, len(w), 64)]
+    having, mean = collections.Counter(t for _, w in units for t in set(w)), sum(len(w) for _, w in units) / len(units)
+    weight = {t: math.log(1 + (len(units) - n + 0.5) / (n + 0.5)) for t, n in having.items()}
+    impacts = []
+    for i, w in units:
+        part = {t: weight[t] * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(w) / mean)) for t, f in collections.Counter(w).items()}
+        impacts.append((i, {t: x / sum(part.values()) for t, x in part.items()}))
+    out = {}
+    for d, text in docs:
+        w = split(text)
+        for a in range(0, max(1, len(w) - 64), 64):
+            passage = set(w[a : a + 128])
+            for i, part in impacts:
+                score = sum(x for t, x in part.items() if t in passage)
+                if score >= 0.6:
+                    out[d, i] = max(out.get((d, i), 0.0), score)
+    text_of, words_of = dict(items), {d: split(t) for d, t in docs}
+    found = {}
+    for (d, i), score in out.items():
+        shares = []
+        for part in _bm25.split_item(text_of[i]):
+            p = split(part)
+            n = min(3, max(1, len(p)))
+            shares.append(len(runs(p, n) & runs(words_of[d], n)) / len(runs(p, n)) if p else None)
+        question, answer = shares[0] or 0.0, shares[1] if shares[1] is not None else shares[0] or 0.0
+        if question >= 0.7 and answer >= 0.5:
+            found[d, i] = tuple(round(x, 6) for x in (score, question, answer))
+    return found
+
+
+@pytest.mark.parametrize("shard_bytes", [1 << 20, 1500])
+def test_leaks_against_brute_force(spark, monkeypatch, shard_bytes):
+    scans = decontaminate._scans
+    monkeypatch.setattr(decontaminate, "_scans", lambda b, t: scans(b, t, shard_bytes))
+    items = [(i, prose(20 + 3 * i, 300 + i).replace(".", "") + ". " + prose(7, 400 + i)) for i in range(25)] + [(50, items_text := prose(90, 5)), (51, items_text), (None, prose(30, 6))]
+    docs = [(i, prose(90, i) + " " + near(items[i][1], i % 9, i) + " " + prose(50, 70 + i)) for i in range(25)]
+    docs += [(60, items_text), (61, prose(300, 9)), (62, ""), (63, None), (None, items[3][1]), (65, items[2][1]), (65, items[2][1]), (66, prose(9000, 3) + " " + items[5][1])]
+    got = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    cell = lambda d, i, x: (str(d), str(i), x)
+    want = restated_leaks(list(enumerate(t for _, t in docs)), list(dict(enumerate(t for _, t in items)).items()))
+    want = [cell(docs[d][0], items[i][0], x) for (d, i), x in want.items()]
+    assert len(want) > 15 and sorted(cell(r.doc_id, r.item_id, tuple(round(x, 6) for x in r[2:])) for r in got) == sorted(want)
+
+
 def test_leaks(spark, odd):
     rare = lambda n, s: " ".join(f"w{(s * 977 + i * 31) % 5000}" for i in range(n))
     items = [(i, f"{rare(25, i)}? Yes. {rare(6, 900 + i)}.") for i in range(30)] + [(30, None), (31, ""), (32, rare(150, 77)), (33, "...")]
