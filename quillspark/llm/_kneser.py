@@ -1,91 +1,59 @@
-"""Symbols, n-gram keys and table look-ups of the quality classifier's language model; numpy only, no Spark."""
+"""N-gram keys and packed blocks of texts for the quality classifier's language model; numpy, pandas and Arrow only, no Spark."""
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
 from . import _text as T
 
-ORDER = 4
-
-
-def _classes() -> tuple[np.ndarray, int]:
-    """Each byte's symbol: small letters by themselves, other bytes in classes; the last two symbols are REPEAT and START."""
-    groups = [b" \t\x0b\x0c\r", b"\n", bytes(range(65, 91)), b"0123456789", b".", b",", b"'\"`", b"-", b"!?;:", b"()[]{}<>", b"#$%&*+/=@\\^_|~", bytes([*range(9), *range(14, 32), 127])]
-    groups += [bytes(b for b in range(0x80, 0xC0) if b % 8 == k) for k in range(8)] + [b"\xc2", b"\xc3", bytes(range(0xC4, 0xE0)), bytes([0xC0, 0xC1, *range(0xE0, 256)])]
-    table = np.zeros(256, np.uint8)
-    table[97:123] = np.arange(26)
-    for k, group in enumerate(groups):
-        table[list(group)] = 26 + k
-    return table, 26 + len(groups) + 2
-
-
-CLASS, SYMBOLS = _classes()
-REPEAT, START = SYMBOLS - 2, SYMBOLS - 1
-#: Every n-gram key is below this, whatever the corpus: the bound of the model's size.
-KEYS = SYMBOLS**ORDER
-
-
-def keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(n-gram keys, offsets by row): one key per symbol of each row, from the ORDER - 1 symbols before it and itself.
-
-    A word that repeats the one before it is, with the space between them, the single symbol REPEAT, so that empty
-    repetition, which trusted text doesn't have, is as improbable as it should be.
-    """
-    hashes, starts, ends, by_row = T.words(data, offsets)
-    symbol = CLASS[data]
-    keep = np.ones(len(data) + 1, np.int64)
-    if len(hashes) > 1:
-        same = np.append(False, hashes[1:] == hashes[:-1])
-        first = by_row[:-1]
-        same[first[first < len(same)]] = False
-        edges = np.zeros(len(data) + 1, np.int64)
-        symbol = symbol.copy()
-        again = np.flatnonzero(same)
-        symbol[starts[again]] = REPEAT
-        edges[starts[again] + 1] += 1
-        edges[ends[again]] -= 1
-        edges[ends[again - 1]] += 1
-        edges[starts[again]] -= 1
-        keep = 1 - edges.cumsum()
-    kept = keep[:-1] > 0
-    size = np.zeros(len(offsets), np.int64)
-    size[1:] = np.concatenate([[0], np.cumsum(kept)])[offsets[1:]]
-    size[0] = 0
-    count = np.diff(size)
-    pad = ORDER - 1
-    padded = np.full(size[-1] + pad * len(count), START, np.int32)
-    place = np.arange(size[-1]) + np.repeat((np.arange(len(count)) + 1) * pad, count)
-    padded[place] = symbol[kept]
-    key = np.zeros(len(place), np.int32)
-    for j in range(pad, -1, -1):
-        key = key * SYMBOLS + padded[place - j]
-    return key, size
-
-
-def count_keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct keys, counts) of a column of texts."""
-    return np.unique(keys(*T.utf8(column))[0], return_counts=True)
-
-
-def score(column: pa.Array, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, bits) of each text, ``bits`` being the cost of every key."""
-    key, size = keys(*T.utf8(column))
-    sums = np.concatenate([[0.0], np.cumsum(bits[key], dtype=np.float64)])
-    return np.diff(size), np.diff(sums[size])
-
-
-def dense_bits(probabilities: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Cost in bits of every key, from seen n-grams and back-off weights of the orders 1, 2, ...
-
-    Each order has (keys, probability where seen, weight left for the shorter context per seen context), the
-    last as a dense array over contexts with 1 where the context is unseen.
-    """
-    last = np.full(SYMBOLS, 1 / SYMBOLS, np.float32)
-    for order, (seen, found, rest) in enumerate(probabilities, 1):
-        now = np.tile(last, SYMBOLS if order > 1 else 1)
-        now = (now.reshape(-1, SYMBOLS) * rest.astype(np.float32)[:, None]).ravel()
-        now[seen] += found.astype(np.float32)
-        last = now
-    return (-np.log2(np.maximum(last, 1e-30))).astype(np.float32)
+#: A key is exact: ORDER symbols as a number to the base SYMBOLS. Symbols are the bytes of UTF-8 and START before a text.
+ORDER, SYMBOLS, START = 5, 257, 256
+
+
+def keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """One key per byte of all rows, from the ORDER - 1 symbols before it in its row and itself."""
+    count, pad = np.diff(offsets), ORDER - 1
+    padded = np.full(len(data) + pad * len(count), START, np.int64)
+    place = np.arange(len(data)) + np.repeat((np.arange(len(count)) + 1) * pad, count)
+    padded[place] = data
+    key = np.zeros(max(len(padded) - pad, 0), np.int64)
+    for j in range(ORDER):
+        key *= SYMBOLS
+        key += padded[j : len(padded) - pad + j]
+    return key[place - pad]
+
+
+def pack_keys(key: np.ndarray) -> bytes:
+    """Sorted distinct keys, as compressed differences."""
+    steps = np.diff(np.sort(key), prepend=0)
+    return len(steps).to_bytes(8, "little") + pa.compress(steps.astype("<i8").view(np.uint8).reshape(-1, 8).T.copy().tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack_keys(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    if not n:
+        return np.zeros(0, np.int64)
+    raw = np.frombuffer(pa.decompress(data[8:], 8 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.cumsum(raw.reshape(8, n).T.copy().view("<i8").ravel())
+
+
+def score(data: np.ndarray, offsets: np.ndarray, known: np.ndarray, bits: np.ndarray, size: int = 1 << 21) -> np.ndarray:
+    """Cost in bits of each row, ``bits`` being the costs of the keys ``known``, among which are all of the rows'."""
+    index = pd.Index(known)
+    out = np.zeros(len(offsets) - 1)
+    start = 0
+    while start < len(out):
+        end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + size, "right")) - 1)
+        at = index.get_indexer(keys(data[offsets[start] : offsets[end]], offsets[start : end + 1] - offsets[start]))
+        sums = np.concatenate([[0.0], np.cumsum(bits[at], dtype=np.float64)])
+        out[start:end] = np.diff(sums[offsets[start : end + 1] - offsets[start]])
+        start = end
+    return out
+
+
+def distinct(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys, bytes, sizes) of a column of texts."""
+    data, offsets = T.utf8(column)
+    return pd.unique(keys(data, offsets)), data, np.diff(offsets)

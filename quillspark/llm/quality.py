@@ -1,14 +1,17 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney n-gram model of trusted text.
 
-The n-grams are runs of ORDER symbols of ``_kneser``: letters and classes of bytes, with an immediate repetition of a word as
-one symbol. So the model has SYMBOLS ** ORDER entries at most, about 7 million, whatever the corpus. Every task counts the
-n-grams of its trusted texts; the counts are summed by shards of the key, the lower orders count distinct
-continuations, and joins of the counts with their contexts' sums give probabilities and back-off weights. That table, bounded
-by its keys and not by the data, goes to the tasks that score the documents, whose texts are never shuffled for it.
-
-A document's score is its bits per symbol (the logarithm of its perplexity), shrunk to its language's mean by PRIOR symbols.
-It is rejected above its language's limit: the quantile HIGH of the trusted documents' scores plus MARGIN times the
-distance to the quantile LOW.
+The n-grams are runs of ORDER bytes of UTF-8, so no script or letter case is lumped together and nothing is out of vocabulary. The
+n-grams of the trusted texts are counted by shards of the key, lower orders count distinct continuations, and the model is
+a table of discounted probabilities and back-off weights that grows with the trusted text; no task and no driver holds it.
+
+Documents are scored by joins with those counts. Texts are packed into blocks, of which each names its distinct n-grams once. The
+n-grams that any block names get their costs by joins with the model, from the lowest order up; the costs go back to the
+blocks that asked, and each block adds them up by document. So what is shuffled is a few hundredths of the n-grams and the compressed texts.
+
+A document's score is its bits per byte (the logarithm of its perplexity), shrunk to its language's mean by PRIOR bytes.
+It is rejected above its language's limit, the quantile HIGH of the scores of trusted documents of that language that were
+held out of the model, one of HELD_OUT. A language's mean and limit are shrunk to those of all languages, by FEW_BYTES bytes
+and FEW documents, so that a language with few trusted documents passes into the others without a step.
 """
 
 from __future__ import annotations
@@ -17,18 +20,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _kneser as K
 from . import _text as T
-from ._common import materialize, release, small, table
+from ._common import drop_intermediates, materialize, small, table, whole_row, written
 
-LOW, HIGH, MARGIN, PRIOR = 0.01, 0.99, 1.5, 64
-#: A language with fewer trusted documents has the limit of all languages together.
-FEW = 25
-#: Trusted ids that may be broadcast to the scan of the texts; more are joined by a shuffle.
-TRUSTED = 1_000_000
+HIGH, PRIOR, HELD_OUT = 0.995, 64, 5
+FEW, FEW_BYTES = 25, 10_000
+#: Bytes of text after which a block is closed, at the end of a document.
+BLOCK_BYTES = 16 << 20
+#: Ids of trusted documents, and texts that are rejected, that may be broadcast to a scan of the texts; more are joined by a shuffle.
+TRUSTED = REJECTED = 1_000_000
+BLOCK = "block long, doc_id array<long>, lang array<string>, h1 array<long>, h2 array<long>, sizes array<long>, data binary, keys binary"
+SCORED = "doc_id long, lang string, h1 long, h2 long, n_bytes long, bits double"
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -36,19 +43,33 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
 
 
+def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
+    """Texts are known by two hashes; what is held out of the model goes by the first."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), F.col("text")).alias("h2"), *more)
+
+
+def _held_out() -> Column:
+    return F.pmod("h1", F.lit(HELD_OUT)) == 0
+
+
 def ngram_counts(texts: DataFrame) -> DataFrame:
     """(text) -> (key, c): how often each n-gram of the highest order comes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(K.KEYS, np.int32)
         for batch in batches:
-            for part in T.pieces(batch, "text", 1 << 20):
-                key, c = K.count_keys(part.column(0))
-                total[key] += c.astype(np.int32)
-        key = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(total[key].astype(np.int64))], ["key", "c"])
+            for part in T.pieces(batch, "text", 1 << 23):
+                key, c = np.unique(K.keys(*T.utf8(part.column(0))), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(c)], ["key", "c"])
+
+    return texts.select("text").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+
 
-    return texts.select("text").mapInArrow(run, "key int, c long").groupBy("key").agg(F.sum("c").alias("c"))
+def _context(key: str = "key") -> Column:
+    return F.expr(f"{key} div {K.SYMBOLS}")
+
+
+def _suffix(n: int) -> Column:
+    return F.col("key") % F.lit(K.SYMBOLS**n)
 
 
 def _discount(c: Column) -> Column:
@@ -63,17 +84,17 @@ def smoothed(counts: DataFrame) -> DataFrame:
     """
     orders = [materialize(counts, "ngrams")]
     for n in range(K.ORDER - 1, 0, -1):
-        orders.insert(0, orders[0].groupBy((F.col("key") % K.SYMBOLS**n).alias("key")).agg(F.count(F.lit(1)).alias("c")))
+        orders.insert(0, orders[0].groupBy(_suffix(n).alias("key")).agg(F.count(F.lit(1)).alias("c")))
     out = []
     for n, grams in enumerate(orders, 1):
         seen = grams.agg(*[F.count_if(F.col("c") == k).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)])
         y = F.when(F.col("n1") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(0.5)
         d = [F.greatest(F.lit(0.05), F.least(F.lit(float(k)), F.when(F.col(f"n{k}") > 0, k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")).otherwise(0.5 * k))).alias(f"d{k}") for k in (1, 2, 3)]
-        grams = grams.join(F.broadcast(seen.select(*d))).select((F.col("key") / K.SYMBOLS).cast("int").alias("context"), "key", "c", "d1", "d2", "d3", _discount(F.col("c")).alias("off"))
+        grams = grams.join(F.broadcast(seen.select(*d))).select(_context().alias("context"), "key", "c", "d1", "d2", "d3", _discount(F.col("c")).alias("off"))
         share = [F.count_if(F.col("c") == k if k < 3 else F.col("c") >= 3) * F.first(f"d{k}") for k in (1, 2, 3)]
         contexts = grams.groupBy("context").agg(F.sum("c").alias("total"), (share[0] + share[1] + share[2]).alias("off_total"))
         joined = grams.join(contexts, "context")
-        out.append(joined.select(F.lit(n).alias("n"), F.lit(True).alias("seen"), F.col("key").cast("int").alias("key"), ((F.col("c") - F.col("off")) / F.col("total")).alias("value")))
+        out.append(joined.select(F.lit(n).alias("n"), F.lit(True).alias("seen"), "key", ((F.col("c") - F.col("off")) / F.col("total")).alias("value")))
         out.append(contexts.select(F.lit(n), F.lit(False), F.col("context"), F.col("off_total") / F.col("total")))
     every = out[0]
     for rows in out[1:]:
@@ -81,91 +102,162 @@ def smoothed(counts: DataFrame) -> DataFrame:
     return materialize(every, "smoothed")
 
 
-def fit_bits(docs: DataFrame, labels: DataFrame) -> np.ndarray:
-    """Cost in bits of every n-gram key under the model of the trusted documents."""
-    texts = docs.join(small(materialize(trusted_ids(labels), "trusted"), TRUSTED), "doc_id").select("text")
-    rows = smoothed(ngram_counts(texts)).toArrow()
-    n, seen, key, value = (rows.column(k).to_numpy() for k in range(4))
-    levels = []
-    for order in range(1, K.ORDER + 1):
-        p, w = (n == order) & seen, (n == order) & ~seen
-        rest = np.ones(K.SYMBOLS ** (order - 1), np.float32)
-        rest[key[w]] = value[w]
-        levels.append((key[p], value[p], rest))
-    release(docs.sparkSession)
-    return K.dense_bits(levels)
+def pack_blocks(docs: DataFrame) -> DataFrame:
+    """(doc_id, lang, h1, h2, text) -> blocks of whole documents: their bytes, compressed, and their distinct n-grams."""
+    names = [c.split()[0] for c in BLOCK.split(", ")]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, size = TaskContext.get().partitionId() << 32, 0
+        rows: list[pa.RecordBatch] = []
+        texts: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
+        known: list[np.ndarray] = []
+
+        def close() -> pa.RecordBatch:
+            nonlocal number, size
+            joined = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(joined)], pa.int32()), joined.column(k)) for k in range(4)]
+            lists.append(pa.ListArray.from_arrays(pa.array([0, len(joined)], pa.int32()), pa.array(np.concatenate(sizes))))
+            data = pa.compress(np.concatenate(texts).tobytes(), codec="zstd", asbytes=True)
+            key = K.pack_keys(np.unique(np.concatenate(known)))
+            out = pa.RecordBatch.from_arrays([pa.array([number]), *lists, pa.array([data], pa.binary()), pa.array([key], pa.binary())], names)
+            number, size = number + 1, 0
+            for x in (rows, texts, sizes, known):
+                x.clear()
+            return out
 
-def _scorer(spark: SparkSession, bits: np.ndarray):
-    model = spark.sparkContext.broadcast(bits)
+        for batch in batches:
+            for part in T.pieces(batch, "text"):
+                key, data, n = K.distinct(part.column(4))
+                rows.append(part.select([0, 1, 2, 3]))
+                texts.append(data.copy())
+                sizes.append(n)
+                known.append(key)
+                size += len(data)
+                if size >= BLOCK_BYTES:
+                    yield close()
+        if rows:
+            yield close()
 
-    @F.arrow_udf("struct<symbols: long, bits: double>")
-    def score(text: pa.Array) -> pa.Array:
-        found = [K.score(part.column(0), model.value) for part in T.pieces(pa.RecordBatch.from_arrays([text], ["text"]), "text", 1 << 20)]
-        symbols, cost = (np.concatenate([x[k] for x in found] or [np.zeros(0)]) for k in range(2))
-        return pa.StructArray.from_arrays([pa.array(symbols.astype(np.int64)), pa.array(cost)], ["symbols", "bits"])
+    return docs.mapInArrow(run, BLOCK)
 
-    return score
 
+def _asked(blocks: DataFrame) -> DataFrame:
+    """(block, key) of the n-grams that the blocks name."""
 
-def _bits_per_symbol(score: Column, base: Column) -> Column:
-    return (score["bits"] + base * PRIOR) / (score["symbols"] + PRIOR)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                key = K.unpack_keys(data.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), block)), pa.array(key)], ["block", "key"])
+
+    return blocks.select("block", "keys").mapInArrow(run, "block long, key long")
+
+
+def ngram_bits(model: DataFrame, asked: DataFrame) -> DataFrame:
+    """(key) of distinct n-grams -> (key, bits), the interpolated cost of each under ``model`` (see ``smoothed``)."""
+    level = None
+    for n in range(1, K.ORDER + 1):
+        rows = asked if n == K.ORDER else asked.select(_suffix(n).alias("key")).distinct()
+        mine = lambda seen, name, n=n: model.where((F.col("n") == n) & (F.col("seen") == F.lit(seen))).select(F.col("key").alias(name), F.col("value").alias(f"{name}_value"))
+        rows = rows.select("key", _context().alias("context"), _suffix(n - 1).alias("rest") if n > 1 else F.lit(0).alias("rest"))
+        rows = rows.join(mine(True, "key"), "key", "left").join(mine(False, "context"), "context", "left")
+        lower = F.lit(1.0 / K.SYMBOLS)
+        if level is not None:
+            rows, lower = rows.join(level, "rest"), F.col("lower")
+        p = F.coalesce("key_value", F.lit(0.0)) + F.coalesce("context_value", F.lit(1.0)) * lower
+        level = rows.select(F.col("key").alias("rest"), p.alias("lower"))
+    return level.select(F.col("rest").alias("key"), (-F.log2(F.greatest("lower", F.lit(1e-30)))).alias("bits"))
+
+
+def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks with their n-grams' costs -> one row per document."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            ids, lang, h1, h2, sizes = (batch.column(k)[i].values for k in range(5))
+            offsets = np.concatenate([[0], np.cumsum(sizes.to_numpy())])
+            data = np.frombuffer(pa.decompress(batch.column(5)[i].as_py(), int(offsets[-1]), codec="zstd", asbytes=True) if offsets[-1] else b"", np.uint8)
+            costs = batch.column(6)[i].values
+            known = [np.zeros(0, np.int64), np.zeros(0)] if costs is None else [costs.field(k).to_numpy() for k in range(2)]
+            yield pa.RecordBatch.from_arrays([ids, lang, h1, h2, sizes, pa.array(K.score(data, offsets, *known))], [c.split()[0] for c in SCORED.split(", ")])
+
+
+def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row per document: doc_id, lang, two hashes of the text, n_bytes and bits under the model of the trusted documents."""
+    mark = written()
+    trusted = small(materialize(trusted_ids(labels), "trusted"), TRUSTED)
+    texts = _keyed(docs, F.col("text")).join(trusted, "doc_id").where(~_held_out()).select("text")
+    model = smoothed(ngram_counts(texts))
+    blocks = materialize(pack_blocks(_keyed(docs, F.col("text"))), "quality-blocks")
+    bits = materialize(ngram_bits(model, materialize(_asked(blocks).select("key").distinct(), "ngrams-asked")), "ngram-bits")
+    costs = _asked(blocks).join(bits, "key").groupBy("block").agg(F.collect_list(F.struct("key", "bits")).alias("costs"))
+    rows = blocks.drop("keys").join(costs, "block", "left").drop("block").mapInArrow(_scores, SCORED)
+    scored = materialize(rows, "scored")
+    drop_intermediates(docs.sparkSession, mark, (scored,))
+    return scored
+
+
+def _bits_per_byte(base: Column) -> Column:
+    return (F.col("bits") + base * PRIOR) / (F.col("n_bytes") + PRIOR)
 
 
 def _quantiles(values: DataFrame, *by: str) -> DataFrame:
-    """(by, x) -> by, limit. The quantiles are exact at thousandths of a bit, from counts, so that reruns agree."""
-    cells = values.groupBy(*by, F.floor(F.col("x") * 1000).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    """(by, x) -> by, n and the quantile HIGH, exact at thousandths of a bit, from counts, so that reruns agree."""
+    cells = values.groupBy(*by, F.ceil(F.col("x") * 1000).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
     whole = Window.partitionBy(*by)
     cells = cells.withColumn("upto", F.sum("n").over(whole.orderBy("cell"))).withColumn("all_n", F.sum("n").over(whole))
-    at = lambda q: F.min(F.when(F.col("upto") >= F.ceil(F.col("all_n") * q), F.col("cell"))) / 1000
-    return cells.groupBy(*by).agg((at(HIGH) + MARGIN * (at(HIGH) - at(LOW))).alias("limit"))
+    return cells.groupBy(*by).agg(F.max("all_n").alias("n"), (F.min(F.when(F.col("upto") >= F.ceil(F.col("all_n") * HIGH), F.col("cell"))) / 1000).alias("high"))
 
 
 def language_limits(scored: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, lang, score) -> one row per language among all: lang, base, limit."""
-    good = scored.join(trusted_ids(labels), "doc_id").select("lang", "score")
-    sums = [(F.sum(F.round(F.col("score.bits") * 1000).cast("long")) / 1000).alias("bits"), F.sum("score.symbols").alias("symbols")]
-    both = good.unionByName(good.withColumn("lang", F.lit(None).cast("string")).withColumn("all", F.lit(True)), allowMissingColumns=True)
-    base = both.groupBy("lang", "all").agg(*sums, F.count(F.lit(1)).alias("n"))
-    base = materialize(base.select("lang", "all", "n", F.when(F.col("symbols") > 0, F.col("bits") / F.col("symbols")).otherwise(0.0).alias("base")), "bases")
-    whole = base.where("all").select(F.col("base").alias("all_base"))
-    bases = base.where("all is null and lang is not null").where(F.col("n") >= FEW).select("lang", "base")
-    rated = good.join(small(bases), "lang", "left").join(F.broadcast(whole)).select("lang", F.coalesce("base", "all_base").alias("base"), "score")
-    rated = rated.select("lang", _bits_per_symbol(F.col("score"), F.col("base")).alias("x"))
-    rated = materialize(rated, "rated")
-    of_all = _quantiles(rated)
-    by_lang = _quantiles(rated, "lang")
-    every = scored.select("lang").distinct().join(F.broadcast(whole.withColumn("one", F.lit(1))), how="left").join(F.broadcast(of_all.withColumnRenamed("limit", "all_limit")), how="left")
-    every = every.join(bases.join(by_lang, "lang"), "lang", "left")
-    return materialize(every.select("lang", F.coalesce("base", "all_base", F.lit(0.0)).alias("base"), F.coalesce("limit", "all_limit").alias("limit")), "limits")
-
-
-def _judged(docs: DataFrame, labels: DataFrame, columns: list) -> DataFrame:
-    """``columns`` of docs with bits_per_symbol, limit and kept."""
-    spark = docs.sparkSession
-    score = _scorer(spark, fit_bits(docs, labels))
-    scored = materialize(docs.select("doc_id", "lang", score("text").alias("score")), "scored")
-    limits = language_limits(scored, labels).select(F.col("lang").alias("of_lang"), "base", "limit")
-    rows = docs.select(*columns, "lang", score("text").alias("score")) if columns else scored
-    rows = rows.join(small(limits), F.col("lang").eqNullSafe(F.col("of_lang")), "left")
-    rated = rows.withColumn("bits_per_symbol", _bits_per_symbol(F.col("score"), F.coalesce("base", F.lit(0.0))))
-    return rated.withColumn("kept", F.coalesce(F.col("bits_per_symbol") <= F.col("limit"), F.lit(True)))
+    """One row per language: lang, base (mean bits per byte), limit, n_trusted (held-out documents that both rest on)."""
+    good = materialize(scored.where(_held_out()).join(trusted_ids(labels), "doc_id").select("lang", "n_bytes", "bits"), "trusted-scores")
+    sums = [(F.sum(F.round(F.col("bits") * 1000).cast("long")) / 1000).alias("bits"), F.sum("n_bytes").alias("n_bytes")]
+    whole = good.agg(*sums).select(F.when(F.col("n_bytes") > 0, F.col("bits") / F.col("n_bytes")).otherwise(0.0).alias("all_base"))
+    whole = materialize(whole, "base")
+    mean = (F.coalesce("bits", F.lit(0.0)) + F.col("all_base") * FEW_BYTES) / (F.coalesce("n_bytes", F.lit(0)) + FEW_BYTES)
+    bases = good.groupBy("lang").agg(*sums).join(F.broadcast(whole)).select("lang", mean.alias("base"))
+    bases = materialize(bases, "bases")
+    of = lambda a, b: a["lang"].eqNullSafe(b["lang"])
+    over = materialize(good.join(small(bases), of(good, bases)).select(good["lang"], (_bits_per_byte(F.col("base")) - F.col("base")).alias("x")), "rated")
+    by_lang, of_all = _quantiles(over, "lang"), _quantiles(over).select(F.col("high").alias("all_high"))
+    langs = scored.select("lang").distinct()
+    rows = langs.join(bases, of(langs, bases), "left").select(langs["lang"], "base")
+    rows = rows.join(by_lang, of(rows, by_lang), "left").select(rows["lang"], "base", "n", "high")
+    rows = rows.join(F.broadcast(whole), how="left").join(F.broadcast(of_all), how="left")
+    n = F.coalesce("n", F.lit(0))
+    base = F.coalesce("base", "all_base", F.lit(0.0))
+    high = (n * F.coalesce("high", F.lit(0.0)) + FEW * F.col("all_high")) / (n + FEW)
+    return materialize(rows.select("lang", base.alias("base"), (base + high).alias("limit"), n.cast("long").alias("n_trusted")), "limits")
+
+
+def _judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    scored = score_documents(docs, labels)
+    limits = small(language_limits(scored, labels))
+    rows = scored.join(limits, scored["lang"].eqNullSafe(limits["lang"])).select(scored["*"], "base", "limit", "n_trusted")
+    rated = rows.withColumn("bits_per_byte", _bits_per_byte(F.col("base")))
+    return rated.withColumn("kept", F.coalesce(F.col("bits_per_byte") <= F.col("limit"), F.lit(True)))
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per document: doc_id, lang, n_symbols, bits_per_symbol, limit, kept.
+    """One row per document: doc_id, lang, n_bytes, bits_per_byte, limit, n_trusted (documents behind the limit), kept.
 
-    Defined cases: a null or empty text has the language's mean score and is kept; null is a language of its own, and
-    it and languages with fewer than FEW trusted documents have the limit of all; without any trusted document
-    everything is kept; labels of null doc_ids don't count, and a document is trusted if all its labels are; repeated rows
-    are judged alike; extra columns are ignored.
+    Defined cases: a null or empty text has the language's mean score and is kept, unless that language's limit is below its mean; a
+    score that ties with the limit is kept; null is a language of its own; a language without trusted documents has
+    mean and limit of all; without any trusted document everything is kept; labels of null doc_ids don't count, and a document
+    is trusted if all its labels are; repeated rows are judged alike; very long texts are a block of their own and scored whole; an empty
+    table gives no row; extra columns are ignored.
     """
-    return _judged(docs, labels, []).select("doc_id", "lang", F.col("score.symbols").alias("n_symbols"), "bits_per_symbol", "limit", "kept")
+    return _judged(docs, labels).select("doc_id", "lang", "n_bytes", "bits_per_byte", "limit", "n_trusted", "kept")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that ``judge_quality`` keeps, columns as they are."""
-    return _judged(docs, labels, [F.struct(*docs.columns).alias("row")]).where("kept").select("row.*")
+    """The documents that ``judge_quality`` keeps, columns as they are; equal texts of a language share their verdict."""
+    gone = _judged(docs, labels).where("not kept").select(F.col("lang").alias("of_lang"), F.col("h1").alias("of_h1"), F.col("h2").alias("of_h2")).distinct()
+    gone = small(materialize(gone, "rejected"), REJECTED)
+    rows = _keyed(docs, whole_row(docs).alias("row"))
+    same = F.col("lang").eqNullSafe(F.col("of_lang")) & (F.col("h1") == F.col("of_h1")) & (F.col("h2") == F.col("of_h2"))
+    return rows.join(gone, same, "left_anti").select("row.*")
 
 
 def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,48 +1,23 @@
 """The whole pipeline against a plain-Python version of its stages."""
 
-import math
-
 import duckdb
 import pyarrow as pa
 
 import __spark_entry__
 import corpus_pipeline
-from quillspark.llm import _kneser, mixing, quality
+from quillspark.llm import mixing, quality
 
-from .test_operators import restated_bits, restated_symbols, restated_tokens
+from .test_operators import held_out, restated_limits, restated_scores, restated_tokens
 
 
-def good_ones(docs, labels):
+def good_ones(docs, labels, held):
     """Documents within their language's limit, by dictionaries and sorted lists."""
     good = {d for d in labels if min(q for q, _ in labels[d]) == 1}
-    raw, known = restated_bits([t for d, t, *_ in docs if d in good]), {}
-
-    def cost(gram):
-        if gram not in known:
-            known[gram] = raw(gram)
-        return known[gram]
-
-    scored = {}
-    for d, t, *_ in docs:
-        s = restated_symbols(t)
-        padded = [_kneser.START] * 3 + s
-        scored[d] = (len(s), sum(cost(tuple(padded[k : k + 4])) for k in range(len(s))))
-    lang = {d: row[0] for d, _, *row in docs}
-
-    def base(ids):
-        return sum(scored[d][1] for d in ids) / sum(scored[d][0] for d in ids)
-
-    everyone = [d for d in scored if d in good]
-    bases = {x: base(m) for x in set(lang.values()) if len(m := [d for d in everyone if lang[d] == x]) >= quality.FEW}
-    value = {d: (b + bases.get(lang[d], base(everyone)) * quality.PRIOR) / (n + quality.PRIOR) for d, (n, b) in scored.items()}
-
-    def limit(ids):
-        v = sorted(value[d] for d in ids)
-        low, high = (v[max(0, math.ceil(q * len(v)) - 1)] for q in (quality.LOW, quality.HIGH))
-        return high + quality.MARGIN * (high - low)
-
-    limits = {x: limit([d for d in everyone if lang[d] == x]) for x in bases}
-    return [r for r in docs if value[r[0]] <= limits.get(lang[r[0]], limit(everyone))]
+    lang = {d: x for d, _, x, *_ in docs}
+    scores = restated_scores({d: t for d, t, *_ in docs}, good, held)
+    limits = restated_limits(scores, lang, [d for d in lang if d in good & held])
+    within = lambda d: (scores[d][1] + limits[lang[d]][0] * quality.PRIOR) / (scores[d][0] + quality.PRIOR) <= limits[lang[d]][1]
+    return [r for r in docs if within(r[0])]
 
 
 def one_of_each(docs):
@@ -71,7 +46,7 @@ def test_pipeline_against_python(spark, sf):
     for d, q, t in read(f"select doc_id, quality, toxic from '{sf}/labels.parquet'"):
         labels.setdefault(d, []).append((q, t))
     items = [t for (t,) in read(f"select text from '{sf}/benchmark.parquet'")]
-    docs = one_of_each(good_ones(docs, labels))
+    docs = one_of_each(good_ones(docs, labels, held_out(spark.read.parquet(f"{sf}/documents.parquet"))))
     docs = [r for r in docs if not any(t in r[1] for t in items)]
     con.register("documents", pa.table({"doc_id": [r[0] for r in docs], "text": [r[1] for r in docs], "source": [r[3] for r in docs]}))
     copies = {d: taken // size for d, size, taken in con.sql(f"select doc_id, size, taken from ({mixing.OP1_SQL})").fetchall() if size}
