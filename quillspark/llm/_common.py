@@ -40,6 +40,7 @@ def release(spark: SparkSession) -> None:
 
 
 _written: list[str] = []
+_tables: dict[str, str] = {}
 
 
 def written() -> int:
@@ -61,6 +62,8 @@ def drop_intermediates(spark: SparkSession, since: int = 0, keep: tuple[DataFram
     for name in [p for p in _written[since:] if p not in held]:
         path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        if name in _tables:
+            spark.sql(f"DROP TABLE IF EXISTS {_tables.pop(name)}")
         _written.remove(name)
 
 
@@ -76,6 +79,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """``materialize`` in as many buckets of ``key`` as shuffles have partitions, so that a join by it moves the other side alone."""
+    spark = df.sparkSession
+    unique = f"{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{unique}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, key).format("parquet").option("path", path).saveAsTable(unique.replace("-", "_"))
+    note_written(path)
+    _tables[path] = unique.replace("-", "_")
+    out = spark.table(_tables[path])
+    out.__dict__["_written_at"] = path
+    release(spark)
+    return out
+
+
 def whole_row(docs: DataFrame) -> Column:
     """All columns as one struct, whatever their names."""
     return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])

@@ -6,7 +6,8 @@ a table of discounted probabilities and back-off weights that grows with the tru
 
 Documents are scored by joins with those counts. Texts are packed into blocks, of which each names its distinct n-grams once. The
 n-grams that any block names get their costs by joins with the model, from the lowest order up; the costs go back to the
-blocks that asked, and each block adds them up by document. So what is shuffled is a few hundredths of the n-grams and the compressed texts.
+blocks that asked, and each block adds them up by document. So what is shuffled is a few hundredths of the n-grams; the texts are
+written once, compressed and bucketed by block.
 
 A document's score is its bits per byte (the logarithm of its perplexity), shrunk to its language's mean by PRIOR bytes.
 It is rejected above its language's limit, the quantile HIGH of the scores of trusted documents of that language that were
@@ -26,12 +27,12 @@ from pyspark.sql import functions as F
 
 from . import _kneser as K
 from . import _text as T
-from ._common import drop_intermediates, materialize, small, table, whole_row, written
+from ._common import bucketed, drop_intermediates, materialize, small, table, whole_row, written
 
 HIGH, PRIOR, HELD_OUT = 0.995, 64, 5
 FEW, FEW_BYTES = 25, 10_000
 #: Bytes of text after which a block is closed, at the end of a document.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES, LEVEL = 16 << 20, 6
 #: Ids of trusted documents, and texts that are rejected, that may be broadcast to a scan of the texts; more are joined by a shuffle.
 TRUSTED = REJECTED = 1_000_000
 BLOCK = "block long, doc_id array<long>, lang array<string>, h1 array<long>, h2 array<long>, sizes array<long>, data binary, keys binary"
@@ -118,7 +119,7 @@ def pack_blocks(docs: DataFrame) -> DataFrame:
             joined = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
             lists = [pa.ListArray.from_arrays(pa.array([0, len(joined)], pa.int32()), joined.column(k)) for k in range(4)]
             lists.append(pa.ListArray.from_arrays(pa.array([0, len(joined)], pa.int32()), pa.array(np.concatenate(sizes))))
-            data = pa.compress(np.concatenate(texts).tobytes(), codec="zstd", asbytes=True)
+            data = pa.Codec("zstd", compression_level=LEVEL).compress(np.concatenate(texts).tobytes(), asbytes=True)
             key = K.pack_keys(np.unique(np.concatenate(known)))
             out = pa.RecordBatch.from_arrays([pa.array([number]), *lists, pa.array([data], pa.binary()), pa.array([key], pa.binary())], names)
             number, size = number + 1, 0
@@ -188,7 +189,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     trusted = small(materialize(trusted_ids(labels), "trusted"), TRUSTED)
     texts = _keyed(docs, F.col("text")).join(trusted, "doc_id").where(~_held_out()).select("text")
     model = smoothed(ngram_counts(texts))
-    blocks = materialize(pack_blocks(_keyed(docs, F.col("text"))), "quality-blocks")
+    blocks = bucketed(pack_blocks(_keyed(docs, F.col("text"))), "quality-blocks", "block")
     bits = materialize(ngram_bits(model, materialize(_asked(blocks).select("key").distinct(), "ngrams-asked")), "ngram-bits")
     costs = _asked(blocks).join(bits, "key").groupBy("block").agg(F.collect_list(F.struct("key", "bits")).alias("costs"))
     rows = blocks.drop("keys").join(costs, "block", "left").drop("block").mapInArrow(_scores, SCORED)
