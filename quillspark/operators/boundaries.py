@@ -11,10 +11,16 @@ from quillspark.operators.slices import with_slices
 SPECIAL_TOKENS = ("[PAD]", "[CLS]", "[SEP]", "[UNK]")
 
 
-def boundary_positions(tokens: DataFrame, docs: DataFrame) -> DataFrame:
-    """Token table -> (doc_id, pos, prob, token): boundary tokens within the text, per position the most probable, the first on a tie."""
+def boundary_positions(tokens: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """Token table -> (doc_id, pos, prob, token): boundary tokens within the text, per position the most probable, the first on a tie.
+
+    ``docs`` (doc_id, text) is read for the texts' lengths only if the tokens don't carry them.
+    """
     rows = tokens.where(F.col("pred") == 1).where(~F.col("token").isin(*SPECIAL_TOKENS)).where("not (char_start = 0 and char_end = 0) and char_start >= 0")
-    rows = rows.join(docs.select("doc_id", F.length("text").alias("n")), "doc_id").where(F.col("char_start") <= F.col("n"))
+    if docs is not None and "length" not in tokens.columns:
+        rows = rows.join(docs.select("doc_id", F.length("text").alias("length")), "doc_id")
+    if "length" in rows.columns:
+        rows = rows.where(F.col("char_start") <= F.col("length"))
     best = Window.partitionBy("doc_id", "char_start").orderBy(F.desc("prob"), "tok_idx")
     return rows.withColumn("rn", F.row_number().over(best)).where("rn = 1").select("doc_id", F.col("char_start").alias("pos"), "prob", "token")
 

@@ -8,8 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import sorted_at
-
 
 def nearest(a: DataFrame, b: DataFrame) -> DataFrame:
     """(key, pos) and (key, pos) -> every row of ``a`` with the distance to the nearest position of ``b``, null if it has none."""
@@ -61,10 +59,21 @@ def scored_match(predicted: DataFrame, gold: DataFrame, tolerance: int = 80) ->
 
 
 def distance_report(a: DataFrame, b: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Directed distances from ``a`` to ``b``: least, index quartiles, greatest, mean, deviation, and counts within 20, 50, 100, 500."""
-    d = F.collect_list("distance")
-    rows = nearest(a, b).where("distance is not null")
-    return rows.groupBy(*(by or [])).agg(
-        F.min("distance").alias("min"), sorted_at(d, 1, 4).alias("q25"), sorted_at(d, 1, 2).alias("median"), sorted_at(d, 3, 4).alias("q75"), F.max("distance").alias("max"),
-        F.avg("distance").alias("mean"), F.stddev_samp("distance").alias("stdev"), *[F.count_if(F.col("distance") <= k).alias(f"within_{k}") for k in (20, 50, 100, 500)],
+    """Directed distances from ``a`` to ``b``: least, index quartiles, greatest, mean, deviation, and counts within 20, 50, 100, 500.
+
+    Distances are counted before they are ordered, so a hot key costs as many rows as it has different distances.
+    """
+    keys = by or []
+    cells = nearest(a, b).where("distance is not null").groupBy(*keys, "distance").agg(F.count(F.lit(1)).alias("c"))
+    whole = Window.partitionBy(*keys)
+    cells = cells.withColumn("upto", F.sum("c").over(whole.orderBy("distance"))).withColumn("n", F.sum("c").over(whole))
+    at = lambda num, den: F.min(F.when(F.col("upto") > F.floor(F.col("n") * num / den), F.col("distance")))
+    n, total = F.sum("c"), F.sum(F.col("distance") * F.col("c"))
+    mean = F.sum(F.col("distance") * F.col("c")).over(whole) / F.col("n")
+    cells = cells.withColumn("off", F.pow(F.col("distance") - mean, F.lit(2.0)) * F.col("c"))
+    spread = F.when(n > 1, F.sqrt(F.sum("off") / (n - 1)))
+    out = cells.groupBy(*keys).agg(
+        F.min("distance").alias("min"), at(1, 4).alias("q25"), at(1, 2).alias("median"), at(3, 4).alias("q75"), F.max("distance").alias("max"), (total / n).alias("mean"), spread.alias("stdev"),
+        *[F.coalesce(F.sum(F.when(F.col("distance") <= k, F.col("c"))), F.lit(0)).alias(f"within_{k}") for k in (20, 50, 100, 500)],
     )
+    return out

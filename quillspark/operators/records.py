@@ -13,15 +13,19 @@ from quillspark.operators.slices import with_slices
 def spaced(boundaries: DataFrame, least: int = 50) -> DataFrame:
     """Boundaries at least ``least`` after the last kept one, counting from 0; sorted by start, then ``ord`` (boundary_id).
 
-    The choice carries state from row to row, so a document's starts fold in one array; other columns don't enter it.
+    The choice carries state from row to row, so a document's boundaries fold in one sorted array, from which the kept ones
+    come out whole.
     """
-    kept = F.aggregate(
-        F.sort_array(F.collect_list(F.struct("char_start", "boundary_id"))),
-        F.struct(F.lit(0).cast("long").alias("last"), F.array().cast("array<struct<char_start:bigint,boundary_id:bigint>>").alias("kept")),
-        lambda a, x: F.when(x["char_start"] - a["last"] >= least, F.struct(x["char_start"].alias("last"), F.array_append(a["kept"], x).alias("kept"))).otherwise(a),
+    names = [c for c in boundaries.columns if c != "doc_id"]
+    item = F.struct(F.col("char_start").alias("a"), F.col("boundary_id").alias("b"), F.struct(*names).alias("row"))
+    grouped = boundaries.groupBy("doc_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    places = F.aggregate(
+        F.transform("items", lambda x, i: F.struct(x["a"].cast("long").alias("a"), i.alias("i"))),
+        F.struct(F.lit(0).cast("long").alias("last"), F.array().cast("array<int>").alias("kept")),
+        lambda s, x: F.when(x["a"] - s["last"] >= least, F.struct(x["a"].alias("last"), F.array_append(s["kept"], x["i"]).alias("kept"))).otherwise(s),
     )["kept"]
-    ids = boundaries.groupBy("doc_id").agg(F.transform(kept, lambda x: x["boundary_id"]).alias("ids")).select("doc_id", F.explode("ids").alias("boundary_id"))
-    return boundaries.join(ids, ["doc_id", "boundary_id"], "left_semi")
+    rows = grouped.select("doc_id", F.explode(F.transform(places, lambda i: F.get("items", i)["row"])).alias("row"))
+    return rows.select("doc_id", "row.*").select(boundaries.columns)
 
 
 def build_records(boundaries: DataFrame, docs: DataFrame, least: int = 50, least_header: int = 5) -> DataFrame:

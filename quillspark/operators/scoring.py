@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 import re
-import zlib
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -12,8 +12,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
-from quillspark.functions.text import cut
+from quillspark.operators.slices import per_document
 
 TOKEN = "tok int, token string, start int, end int, logit0 double, logit1 double"
 
@@ -26,43 +27,44 @@ class Scorer(Protocol):
 
 @functools.lru_cache(maxsize=200_000)
 def _logits(word: str) -> tuple[float, float]:
-    crc = zlib.crc32(word.encode())
-    return (crc % 997) / 100, (crc // 997 % 997) / 100
+    digest = hashlib.md5(word.encode()).hexdigest()
+    return int(digest[:8], 16) % 997 / 100, int(digest[8:16], 16) % 997 / 100
 
 
 class HashScorer:
-    """A deterministic stand-in for a model: words and marks with logits from their crc32, in [CLS] and [SEP]."""
+    """A deterministic stand-in for a model: ASCII words and single other characters with logits from their md5, in [CLS] and [SEP]."""
 
-    words = re.compile(r"\w+|[^\w\s]")
+    words = re.compile("[0-9A-Za-z]+|[^0-9A-Za-z \t\n\r\f\v]")
 
     def __call__(self, texts: list[str]) -> list[list[tuple[str, int, int, float, float]]]:
         return [[("[CLS]", 0, 0, 1.0, 0.0), *((m.group(), m.start(), m.end(), *_logits(m.group())) for m in self.words.finditer(t)), ("[SEP]", 0, 0, 1.0, 0.0)] for t in texts]
 
 
 def score_chunks(chunks: DataFrame, load: Callable[[], Scorer]) -> DataFrame:
-    """(doc_id, chunk_id, start, text) -> one row per token with the chunk's start as chunk_start.
+    """(doc_id, chunk_id, start, text) -> one row per token with the chunk's start as chunk_start, and the chunk's length if it has one.
 
     ``load`` runs once per task in the worker, so a model is read there from its path and scores a batch at a time.
     """
 
-    names = ["doc_id", "chunk_id", "chunk_start", *[c.split()[0] for c in TOKEN.split(", ")]]
+    extra = ["length"] if "length" in chunks.columns else []
+    names = ["doc_id", "chunk_id", "chunk_start", *extra, *[c.split()[0] for c in TOKEN.split(", ")]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = load()
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                scored = scorer(part.column(3).to_pylist())
+                scored = scorer([t or "" for t in part.column(len(extra) + 3).to_pylist()])
                 counts = np.array([len(x) for x in scored], np.int64)
                 owner = pa.array(np.repeat(np.arange(len(scored)), counts))
                 place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
                 columns = list(zip(*[t for x in scored for t in x], strict=True)) or [()] * 5
                 kinds = (pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.float64())
                 made = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([*[part.column(k).take(owner) for k in range(3)], pa.array(place.astype(np.int32)), *made], names)
+                yield pa.RecordBatch.from_arrays([*[part.column(k).take(owner) for k in range(len(extra) + 3)], pa.array(place.astype(np.int32)), *made], names)
 
-    kept = chunks.select(F.col("doc_id").cast("long"), F.col("chunk_id").cast("long"), F.col("start").cast("long"), "text")
-    return kept.mapInArrow(run, "doc_id long, chunk_id long, chunk_start long, " + TOKEN)
+    kept = chunks.select(F.col("doc_id").cast("long"), F.col("chunk_id").cast("long"), F.col("start").cast("long"), *[F.col(c).cast("long") for c in extra], "text")
+    return kept.mapInArrow(run, "doc_id long, chunk_id long, chunk_start long, " + "length long, " * len(extra) + TOKEN)
 
 
 def argmax(logits: Column) -> Column:
@@ -79,14 +81,15 @@ def softmax(logits: Column) -> Column:
 def token_table(scored: DataFrame, skip: int = 5) -> DataFrame:
     """Scored tokens -> doc_id, tok_idx, token, char_start, char_end, pred, prob in absolute offsets.
 
-    The first ``skip`` tokens of every chunk but the first are the overlap's and go. A tie of the logits predicts 0.
+    The first ``skip`` tokens of every chunk but the first are the overlap's and go. A tie of the logits predicts 0. The length of
+    the text stays with its tokens if the chunks had it.
     """
     rows = scored.where((F.col("chunk_id") == 0) | (F.col("tok") >= skip))
     order = Window.partitionBy("doc_id").orderBy("chunk_id", "tok")
     return rows.select(
         "doc_id", (F.row_number().over(order) - 1).cast("long").alias("tok_idx"), "token",
         (F.col("start") + F.col("chunk_start")).alias("char_start"), (F.col("end") + F.col("chunk_start")).alias("char_end"),
-        (F.col("logit1") > F.col("logit0")).cast("int").alias("pred"), (1 / (1 + F.exp(F.col("logit0") - F.col("logit1")))).alias("prob"),
+        (F.col("logit1") > F.col("logit0")).cast("int").alias("pred"), (1 / (1 + F.exp(F.col("logit0") - F.col("logit1")))).alias("prob"), *(["length"] if "length" in scored.columns else []),
     )
 
 
@@ -115,7 +118,12 @@ def boundary_tokens(tokens: DataFrame) -> DataFrame:
 
 def offset_accuracy(tokens: DataFrame, docs: DataFrame, first: int = 100) -> DataFrame:
     """Per document: among the first tokens, the percentage whose text stands at their offsets (leading # of the token ignored)."""
-    rows = tokens.where(F.col("tok_idx") < first).join(docs.select("doc_id", "text"), "doc_id")
-    inside = (F.col("char_start") >= 0) & (F.col("char_end") <= F.length("text"))
-    same = inside & (cut(F.col("text"), F.col("char_start"), F.col("char_end")) == F.regexp_replace("token", r"\A#+", ""))
-    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sampled"), (100.0 * F.count_if(same) / F.count(F.lit(1))).alias("accuracy"))
+
+    def fill(text: str | None, items: pa.StructArray) -> list[list]:
+        token, start, end = (items.field(items.type.get_field_index(c)).to_pylist() for c in ("token", "char_start", "char_end"))
+        text = text or ""
+        return [[0 <= a and b <= len(text) and text[a:b] == t.lstrip("#") for t, a, b in zip(token, start, end, strict=True)]]
+
+    rows = tokens.where(F.col("tok_idx") < first).select("doc_id", "token", "char_start", "char_end")
+    rows = per_document(rows, docs, [S.StructField("same", S.BooleanType())], fill)
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sampled"), (100.0 * F.count_if("same") / F.count(F.lit(1))).alias("accuracy"))

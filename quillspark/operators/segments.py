@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.lexicon import CHAIN_STEMS, HEADER_STOPS, HEADER_VERBS, QUOTE
 from quillspark.functions.text import strip, upper_median
+from quillspark.operators.slices import pieces
 
 SEGMENT = "id long, start long, end long, header string, header_len long, body_len long"
 _MARKS = re.compile("[ً-ٰٟ]")
@@ -83,10 +84,11 @@ def marker_segments(docs: DataFrame, segmenter: Segmenter) -> DataFrame:
         names = [c.split()[0] for c in SEGMENT.split(", ")]
         kinds = [pa.string() if "string" in c else pa.int64() for c in SEGMENT.split(", ")]
         for batch in batches:
-            found = [segmenter.segments(t) if t else [] for t in batch.column(1).to_pylist()]
-            doc = batch.column(0).take(pa.array([i for i, s in enumerate(found) for _ in s], pa.int64()))
-            flat = list(zip(*[x for s in found for x in s], strict=True)) or [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([doc, *[pa.array(v, k) for v, k in zip(flat, kinds, strict=True)]], ["doc_id", *names])
+            for part in pieces(batch, 1):
+                found = [segmenter.segments(t) if t else [] for t in part.column(1).to_pylist()]
+                doc = part.column(0).take(pa.array([i for i, s in enumerate(found) for _ in s], pa.int64()))
+                flat = list(zip(*[x for s in found for x in s], strict=True)) or [[] for _ in names]
+                yield pa.RecordBatch.from_arrays([doc, *[pa.array(v, k) for v, k in zip(flat, kinds, strict=True)]], ["doc_id", *names])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, " + SEGMENT)
 

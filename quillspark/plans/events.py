@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import annotations, boundaries, compare
 from quillspark.plans._read import table
+from quillspark.plans.documents import stays_sql
 
 
 def _seconds() -> F.Column:
@@ -108,6 +109,7 @@ _NEAR = "ev AS (SELECT event_type AS detector, user_id AS key, epoch_us(ts) // 1
 _PRF = "SELECT {a} AS a, {b} AS b, na AS n_a, nb AS n_b, m AS matches, round(CASE WHEN na > 0 THEN m / na ELSE 0 END, 9) AS precision, round(CASE WHEN nb > 0 THEN m / nb ELSE 0 END, 9) AS recall, round(CASE WHEN m > 0 THEN 2 * (m / na) * (m / nb) / (m / na + m / nb) ELSE 0 END, 9) AS f1 FROM (SELECT (SELECT count(*) FROM ev WHERE detector = {a}) AS na, (SELECT count(*) FROM ev WHERE detector = {b}) AS nb, (SELECT count(*) FROM near WHERE da = {a} AND db = {b} AND distance <= 7200) AS m)"
 
 ORACLES = {
+    "dedup_units": f"WITH RECURSIVE {_IV}, tight AS (SELECT doc_id, ord AS o, char_start // 600 AS s, char_end // 600 AS e, coalesce(len(h), 0) AS n FROM iv), {stays_sql('tight')} SELECT t.doc_id, t.o AS ord, t.s AS char_start, t.e AS char_end FROM tight t JOIN stays ON stays.doc_id = t.doc_id AND stays.o = t.o",
     "gap_clusters": f"WITH {POSITIONS_SQL} SELECT * REPLACE (array_to_string(tokens, ',') AS tokens) FROM cl",
     "cluster_validation": f"WITH {POSITIONS_SQL}, g AS (SELECT *, lead(char_start) OVER (PARTITION BY doc_id ORDER BY char_start) - char_end AS gap FROM cl) SELECT doc_id, count(*) AS total_boundaries, round(sum(char_end - char_start)::DOUBLE / max(char_end) * 100, 6) AS text_coverage, min(gap) AS min_gap, max(gap) AS max_gap, list_sort(list(gap) FILTER (gap IS NOT NULL))[count(gap) // 2 + 1] AS median_gap, round(avg(gap), 6) AS mean_gap, count(*) FILTER (gap < 50) AS very_short, count(*) FILTER (gap > 5000) AS very_long FROM g GROUP BY doc_id",
     "merge_intervals": f"WITH {_IV}, o AS (SELECT *, row_number() OVER w AS r, coalesce((char_start >= max(char_end) OVER (PARTITION BY doc_id ORDER BY char_start, char_end DESC, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::INT, 1) AS f FROM iv WINDOW w AS (PARTITION BY doc_id ORDER BY char_start, char_end DESC, ord)), i AS (SELECT *, sum(f) OVER (PARTITION BY doc_id ORDER BY r) AS isl FROM o), m AS (SELECT doc_id, isl, min(char_start)::BIGINT AS char_start, max(char_end)::BIGINT AS char_end, arg_max(h, r) FILTER (h IS NOT NULL) AS header_text, CASE WHEN count(*) > 1 THEN string_agg(ord::VARCHAR, ',' ORDER BY r) END AS merged_from FROM i GROUP BY doc_id, isl) SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY char_start) - 1)::BIGINT AS unit_id, char_start, char_end, header_text, header_text IS NOT NULL AS has_header, merged_from FROM m",

@@ -16,7 +16,7 @@ def by_scorer(docs: DataFrame, load: Callable[[], scoring.Scorer], gap: int = 20
     """Raw (doc_id, text) -> (cleaned documents, boundary clusters with their context)."""
     cleaned = clean.clean_documents(docs.select("doc_id", "text"))
     tokens = scoring.token_table(scoring.score_chunks(chunks.fixed_chunks(cleaned), load))
-    clusters = boundaries.gap_clusters(boundaries.boundary_positions(tokens, cleaned), gap)
+    clusters = boundaries.gap_clusters(boundaries.boundary_positions(tokens), gap)
     return cleaned, boundaries.with_context(clusters, cleaned)
 
 

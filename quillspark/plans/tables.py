@@ -10,7 +10,7 @@ from quillspark.plans._read import table
 
 
 def softmax_argmax(spark: SparkSession, d: str) -> DataFrame:
-    logits = F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double"))
+    logits = F.transform("embedding", lambda x: x.cast("double"))
     rows = table(spark, d, "embeddings").select("vec_id", logits.alias("x"))
     return rows.select("vec_id", scoring.argmax(F.col("x")).alias("best"), F.round(F.array_max(scoring.softmax(F.col("x"))), 9).alias("prob"))
 
@@ -42,7 +42,7 @@ def token_labels(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (softmax_argmax, label_histogram, hash_split, binary_metrics, confusion_matrix, token_labels)}
 
 ORACLES = {
-    "softmax_argmax": "WITH x AS (SELECT vec_id, list_transform(embedding[1:8], lambda v: v::DOUBLE) AS x FROM embeddings), e AS (SELECT vec_id, x, list_transform(x, lambda v: exp(v - list_max(x))) AS e FROM x) SELECT vec_id, (list_position(x, list_max(x)) - 1)::BIGINT AS best, round(list_max(e) / list_sum(e), 9) AS prob FROM e",
+    "softmax_argmax": "WITH x AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings), e AS (SELECT vec_id, x, list_transform(x, lambda v: exp(v - list_max(x))) AS e FROM x) SELECT vec_id, (list_position(x, list_max(x)) - 1)::BIGINT AS best, round(list_max(e) / list_sum(e), 9) AS prob FROM e",
     "label_histogram": "SELECT quality AS label, count(*) AS n, round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM labels), 9) AS percent FROM labels GROUP BY quality",
     "hash_split": "WITH u AS (SELECT doc_id, ('0x' || substr(md5('42:' || doc_id), 1, 8))::BIGINT / 4294967296::DOUBLE AS u FROM labels) SELECT doc_id, CASE WHEN u < 0.7::DOUBLE THEN 'train' WHEN u < 0.85::DOUBLE THEN 'validation' ELSE 'test' END AS part FROM u",
     "binary_metrics": "WITH s AS (SELECT count(*) AS n, count(*) FILTER (quality = toxic) AS e, count(*) FILTER (quality = 1 AND toxic = 1) AS tp, count(*) FILTER (quality = 1) AS pp, count(*) FILTER (toxic = 1) AS ap FROM labels) SELECT n, round(e / n, 9) AS accuracy, round(tp / pp, 9) AS precision, round(tp / ap, 9) AS recall, round(2 * (tp / pp) * (tp / ap) / (tp / pp + tp / ap), 9) AS f1 FROM s",

@@ -55,7 +55,7 @@ def test_fixed_chunks(spark):
 
 def test_smart_chunks_follow_the_delimiters():
     text = "word " * 400
-    found = list(chunks.chunk_bounds(text, 700, 100, 100, ("\n", " ")))
+    found = chunks.smart_bounds(text, 700, 100, 100, ("\n", " "))
     assert found[0] == (0, 700) and found[1][0] == 600 and found[-1][1] == len(text)
     assert all(text[b - 1] == " " for _, b in found)
 
@@ -228,10 +228,11 @@ def test_report(spark):
     docs = spark.createDataFrame([(1, "ab<c>d\nefg"), (2, "plain")], "doc_id long, text string")
     marks = spark.createDataFrame([(1, 0, 2, 5, 0.8, ["<t>"])], "doc_id long, boundary_id long, char_start long, char_end long, max_prob double, tokens array<string>")
     html = dict(report.highlight(marks, docs).collect())
-    assert html[2] == "<span class='text'>plain</span>" and "&lt;c&gt;" in html[1] and report.COLORS[2] in html[1] and "<t>" not in html[1]
+    assert html[2] == "plain" and "&lt;c&gt;" in html[1] and 'class="low" data-prob="0.800"' in html[1] and "<t>" not in html[1]
     stats = report.confidence_stats(marks, docs.select("doc_id", F.length("text").alias("n"))).orderBy("doc_id").collect()
     assert (stats[0].high, stats[0].medium, stats[0].low, stats[1].n_boundaries) == (0, 1, 0, 0)
-    assert report.pages(marks, docs).count() == 2
+    page = dict(report.pages(marks, docs).collect())
+    assert len(page) == 2 and report.COLORS[2] in page[1] and '<a href="#b0">' in page[1] and '<span class="bar medium" style="width: 90.0%">1</span>' in page[1]
 
 
 def test_training(spark):
