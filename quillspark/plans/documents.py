@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.functions.lexicon import LATIN_QUOTE, LATIN_STEMS
+from quillspark.functions.lexicon import CHAIN_STEMS, LATIN_QUOTE, LATIN_STEMS, QUOTE
 from quillspark.functions.text import escape_html, normalize_arabic
 from quillspark.operators import annotations, boundaries, chunks, clean, records, report, scoring, segments
 from quillspark.operators.slices import with_slices
@@ -32,19 +32,49 @@ c3 AS (SELECT doc_id, raw, regexp_replace(regexp_replace(regexp_replace(regexp_r
 c4 AS (SELECT doc_id, raw, regexp_replace(regexp_replace(regexp_replace(t, '\s*ms\d+\s*', ' ', 'g'), '\s*\[ص:\s*\d+\]', '', 'g'), '(?m)^\s*\[[^\n]*?:\]\s*', '', 'g') AS t FROM c3),
 cleaned AS (SELECT doc_id, raw, regexp_replace(array_to_string(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), chr(10)), '\n+$', '') AS t FROM c4)"""
 
-STARTS_SQL = r"""m AS (SELECT doc_id, text, regexp_extract_all(text, '(?:that|with|para|eaux|schr|ment|thon)(?s:.)?') AS ms, string_split_regex(text, '(?:that|with|para|eaux|schr|ment|thon)(?s:.)?') AS sp FROM documents),
+def starts_sql(stems: tuple[str, ...], quote: str, src: str) -> str:
+    """Segments of ``src`` (doc_id, text as it is searched, orig as it is cut) by the stems; the shortest stem decides where the search goes on."""
+    some, q = "|".join(sorted(stems, key=len)), len(quote)
+    return rf"""src0 AS ({src}),
+m AS (SELECT doc_id, text, regexp_extract_all(text, '(?:{some})(?s:.)?') AS ms, string_split_regex(text, '(?:{some})(?s:.)?') AS sp FROM src0),
 e AS (SELECT doc_id, unnest(range(1, len(ms) + 1)) AS k, unnest(list_transform(ms, lambda x: len(x))) AS ml, unnest(list_transform(sp[1:len(ms)], lambda x: len(x))) AS gl FROM m),
 starts AS (SELECT doc_id, k, (sum(gl + ml) OVER (PARTITION BY doc_id ORDER BY k) - ml)::BIGINT AS s FROM e),
-mk AS (SELECT s.doc_id, s.s, coalesce(lead(s.s) OVER (PARTITION BY s.doc_id ORDER BY s.s), len(d.text)) AS nx FROM starts s JOIN documents d USING (doc_id)),
-q0 AS (SELECT doc_id, text, string_split(text, 'the') AS sp FROM documents),
+mk AS (SELECT s.doc_id, s.s, coalesce(lead(s.s) OVER (PARTITION BY s.doc_id ORDER BY s.s), len(d.text)) AS nx FROM starts s JOIN src0 d USING (doc_id)),
+q0 AS (SELECT doc_id, text, string_split(text, '{quote}') AS sp FROM src0),
 q1 AS (SELECT doc_id, unnest(range(1, len(sp))) AS k, unnest(list_transform(sp[1:len(sp) - 1], lambda x: len(x))) AS gl FROM q0),
-q2 AS (SELECT doc_id, (sum(gl + 3) OVER (PARTITION BY doc_id ORDER BY k))::BIGINT AS qe FROM q1),
-q3 AS (SELECT q2.doc_id, qe, qe + len(regexp_extract(substr(text, qe + 1, 100), '^[ \n\t]*')) AS ws, text FROM q2 JOIN documents USING (doc_id)),
-q AS (SELECT doc_id, qe, ws FROM q3 WHERE NOT regexp_matches(substr(text, ws + 1, 8), '^(?:that|with|para|eaux|schr|ment|thon)')),
-en AS (SELECT mk.doc_id, s, nx, min(ws) AS ws FROM mk LEFT JOIN q ON q.doc_id = mk.doc_id AND qe >= s + 3 AND qe <= s + least(900, nx - s + 50) GROUP BY ALL),
-fx AS (SELECT doc_id, s, nx, CASE WHEN coalesce(ws, s + 150) > nx THEN least(s + 400, nx) ELSE coalesce(ws, s + 150) END AS en FROM en),
-segs AS (SELECT f.doc_id, (row_number() OVER (PARTITION BY f.doc_id ORDER BY s) - 1)::BIGINT AS id, s AS start, en::BIGINT AS "end", left(trim(substr(text, s + 1, en - s), ' ' || chr(10)), 100) AS header, (en - s)::BIGINT AS header_len, (nx - en)::BIGINT AS body_len, text
-  FROM fx f JOIN documents USING (doc_id) WHERE en - s >= 8 AND trim(substr(text, s + 1, en - s), ' ' || chr(10)) <> '')"""
+q2 AS (SELECT doc_id, (sum(gl + {q}) OVER (PARTITION BY doc_id ORDER BY k))::BIGINT AS qe FROM q1),
+q3 AS (SELECT q2.doc_id, qe, qe + len(regexp_extract(substr(text, qe + 1, 100), '^[ \n\t]*')) AS ws, text FROM q2 JOIN src0 USING (doc_id)),
+q AS (SELECT doc_id, qe, ws FROM q3 WHERE NOT regexp_matches(substr(text, ws + 1, 8), '^(?:{some})')),
+en AS (SELECT mk.doc_id, s, nx, min(ws) AS ws FROM mk LEFT JOIN q ON q.doc_id = mk.doc_id AND qe >= s + {q} AND qe <= s + least(900, nx - s + 50) GROUP BY ALL),
+fx AS (SELECT doc_id, s, nx, CASE WHEN coalesce(ws, s + 150) > nx THEN least(s + 400, nx) ELSE coalesce(ws, s + 150) END AS en FROM en)"""
+
+
+_CUT_SQL = r""",
+segs AS (SELECT f.doc_id, (row_number() OVER (PARTITION BY f.doc_id ORDER BY s) - 1)::BIGINT AS id, s AS start, en::BIGINT AS "end", left(trim(substr(orig, s + 1, en - s), ' ' || chr(10)), 100) AS header, (en - s)::BIGINT AS header_len, (nx - en)::BIGINT AS body_len, text
+  FROM fx f JOIN src0 USING (doc_id) WHERE en - s >= 8 AND trim(substr(orig, s + 1, en - s), ' ' || chr(10)) <> '')"""
+_BACK_SQL = r""",
+bk AS (SELECT doc_id, orig, list_append(list_filter(range(0, len(orig)), lambda i: NOT regexp_matches(cs[i + 1], '[\x{64B}-\x{65F}\x{670}]')), len(orig)) AS b FROM (SELECT doc_id, orig, string_split(orig, '') AS cs FROM src0)),
+sg AS (SELECT f.doc_id, f.s, b[s + 1] AS bs, b[en + 1] AS be, b[nx + 1] AS bn, trim(substr(orig, b[s + 1] + 1, b[en + 1] - b[s + 1]), ' ' || chr(10)) AS h, en - s AS w FROM fx f JOIN bk USING (doc_id)),
+segs AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1)::BIGINT AS id, bs::BIGINT AS start, be::BIGINT AS "end", left(h, 100) AS header, (be - bs)::BIGINT AS header_len, (bn - be)::BIGINT AS body_len FROM sg WHERE w >= 8 AND h <> '')"""
+STARTS_SQL = starts_sql(LATIN_STEMS, LATIN_QUOTE, "SELECT doc_id, text, text AS orig FROM documents") + _CUT_SQL
+_ARABIC = (("the", "قَالَ"), ("and", "حَدَّثنا"), ("der", "أخبرنا"), ("de", "سَمِعْتُ"), ("of", "وحدثني"), ("la", "رَواه"), ("in", "بلغني"), ("die", "أنبأنا"))
+
+
+def arabic(docs: DataFrame) -> DataFrame:
+    """Documents with frequent words exchanged for Arabic ones, some with vowel marks: the test tables have no Arabic."""
+    text = F.col("text")
+    for word, other in _ARABIC:
+        text = F.replace(text, F.lit(f" {word} "), F.lit(f" {other} "))
+    return docs.select("doc_id", text.alias("text"))
+
+
+def _arabic_sql() -> str:
+    text = "text"
+    for word, other in _ARABIC:
+        text = f"replace({text}, ' {word} ', ' {other} ')"
+    plain = r"translate(regexp_replace(orig, '[\x{64B}-\x{65F}\x{670}]', '', 'g'), 'أإآٱةى', 'ااااهي')"
+    return starts_sql(CHAIN_STEMS, QUOTE, f"SELECT doc_id, orig, {plain} AS text FROM (SELECT doc_id, {text} AS orig FROM documents)")
+
 
 HEADER_SQL = r"""regexp_replace(regexp_extract(left({0}, 200), '(?s)^(.*(?:that|with|para|eaux|schr|ment|thon)[^۔。.،,\n]*)', 1), '^\s+|\s+$', '', 'g')"""
 
@@ -57,6 +87,16 @@ def marker_segments(spark: SparkSession, d: str) -> DataFrame:
     return _segments(spark, d)
 
 
+def arabic_segments(spark: SparkSession, d: str) -> DataFrame:
+    """The default word lists over normalized text, with offsets as they are found there."""
+    return segments.marker_segments(arabic(spread(table(spark, d, "documents"))), segments.Segmenter())
+
+
+def arabic_segments_mapped(spark: SparkSession, d: str) -> DataFrame:
+    """The same with offsets mapped back to the text as it was."""
+    return segments.marker_segments(arabic(spread(table(spark, d, "documents"))), segments.Segmenter(original_offsets=True))
+
+
 def segment_gaps(spark: SparkSession, d: str) -> DataFrame:
     return segments.segment_gaps(_segments(spark, d))
 
@@ -231,7 +271,7 @@ def text_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    marker_segments, segment_gaps, fixed_chunks, chunk_counts, smart_chunks, clean_text, clean_stats, html_escape, header_prefix, normalize_text, greedy_filter,
+    marker_segments, arabic_segments, arabic_segments_mapped, segment_gaps, fixed_chunks, chunk_counts, smart_chunks, clean_text, clean_stats, html_escape, header_prefix, normalize_text, greedy_filter,
     build_records, record_totals, narrative_units, unit_summary, scored_tokens, inference_stats, boundary_tokens, offset_accuracy, boundary_positions, clusters_in_context, cluster_units,
     mid_word, confidence_bands, boundary_colors, report_pages, locate_passages, resolve_units, parse_replies, prompts, annotated_units, scorer_lifecycle, text_names,
 )}
@@ -344,6 +384,8 @@ ORACLES = {
     "prompts": f"WITH RECURSIVE {_chunks_sql(700, 100, 100)} SELECT doc_id, chunk_id, md5(replace('{_PROMPT}', '{{text}}', x)) AS digest FROM sc",
     "annotated_units": _ANNOTATED_SQL,
     "marker_segments": f"WITH {STARTS_SQL} SELECT doc_id, id, start, \"end\", header, header_len, body_len FROM segs",
+    "arabic_segments": f"WITH {_arabic_sql()}{_CUT_SQL} SELECT doc_id, id, start, \"end\", header, header_len, body_len FROM segs",
+    "arabic_segments_mapped": f"WITH {_arabic_sql()}{_BACK_SQL} SELECT * FROM segs",
     "segment_gaps": f"WITH {STARTS_SQL}, g AS (SELECT doc_id, start - lag(\"end\") OVER (PARTITION BY doc_id ORDER BY start) AS gap FROM segs) SELECT doc_id, min(gap) AS min_gap, list_sort(list(gap))[len(list(gap)) // 2 + 1] AS median_gap, max(gap) AS max_gap, count(*) FILTER (gap > 100) AS over_100, count(*) FILTER (gap > 500) AS over_500 FROM g WHERE gap IS NOT NULL GROUP BY doc_id",
     "fixed_chunks": "WITH c AS (SELECT doc_id, text, unnest(range(0, len(text), 500)) AS start FROM documents) SELECT doc_id, start // 500 AS chunk_id, start, least(start + 550, len(text)) AS \"end\", md5(substr(text, start + 1, 550)) AS digest FROM c",
     "chunk_counts": "WITH c AS (SELECT doc_id, (len(text) + 499) // 500 AS n_chunks FROM documents) SELECT doc_id, n_chunks, (CASE WHEN n_chunks <= 2 THEN 1 WHEN n_chunks <= 6 THEN least(n_chunks, 4) WHEN n_chunks <= 20 THEN least(n_chunks, 6) ELSE least(n_chunks, 8) END)::BIGINT AS n_workers FROM c",

@@ -326,3 +326,96 @@ def test_command_line(spark, tmp_path):
         (tmp_path / f"{name}.json").write_text(f'{{"narrative_units": [{{"unit_id": 0, "char_start": {at}}}]}}')
     main(["compare", str(tmp_path / "p.json"), str(tmp_path / "cmp"), str(tmp_path / "g.json")])
     assert spark.read.json(str(tmp_path / "cmp")).first().true_positives == 1
+
+
+def test_kernels_agree_with_their_definitions():
+    """The duplicate filter and the chunk walk against step-by-step versions."""
+
+    def by_steps(rows, near):
+        out, first = [], 0
+        while first < len(rows):
+            win, last, k = first, first, first + 1
+            while k < len(rows) and rows[k][0] <= rows[win][0] + near:
+                if abs(rows[k][1] - rows[win][1]) <= near:
+                    last = k
+                    win = k if rows[k][2] > rows[win][2] else win
+                k += 1
+            out.append(win)
+            first = last + 1
+        return out
+
+    rng = random.Random(3)
+    for n in range(60):
+        rows = sorted((s := rng.randrange(400), s + rng.randrange(120), rng.randrange(4)) for _ in range(n))
+        assert annotations.without_repeats([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]) == by_steps(rows, 50)
+    for n in (0, 1, 99, 100, 101, 350, 1000):
+        text = "".join(rng.choice("ab \n") if rng.random() < 0.1 else "x" for _ in range(n))
+        bounds = chunks.smart_bounds(text, 100, 30, 20, ("\n", " "), 40)
+        assert (not n and not bounds) or (bounds[-1][1] == n and all(b - a <= 100 for a, b in bounds))
+
+
+def test_names_for_sql(spark):
+    from quillspark.functions.register import register
+
+    assert register(spark) == ["quill_normalize", "quill_chunks", "quill_segments"]
+    assert spark.sql("select quill_normalize('أَب')").first()[0] == "اب"
+    rows = spark.sql("select d.id, c.* from (select 1 as id, repeat('word ', 300) as t) d, lateral quill_chunks(d.t, 700, 100, 100) c order by start").collect()
+    assert [tuple(r)[1:] for r in rows] == [(k, *b) for k, b in enumerate(chunks.smart_bounds("word " * 300, 700, 100, 100, ("\n", " ")))]
+    assert spark.sql("select count(*) from quill_segments('حدثنا زيد قال كان هنا رجل')").first()[0] == 1
+
+
+def test_chat_client(monkeypatch):
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from quillspark.operators.clients import ChatClient
+
+    seen = []
+
+    class Service(BaseHTTPRequestHandler):
+        def do_POST(self):
+            seen.append((self.headers.get("Authorization"), json.loads(self.rfile.read(int(self.headers["Content-Length"])))))
+            code = {1: 503, 2: 429}.get(len(seen), 200)
+            self.send_response(code if seen[-1][1]["model"] != "none" else 404)
+            self.end_headers()
+            self.wfile.write(json.dumps({"choices": [{"message": {"content": "done"}}]}).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    monkeypatch.setenv("CHAT_API_KEY", "k")
+    url = f"http://127.0.0.1:{server.server_port}/"
+    assert ChatClient(url, "m", wait=0.01)("hi") == "done" and len(seen) == 3
+    assert seen[0][0] == "Bearer k" and seen[0][1]["messages"][0]["content"] == "hi"
+    with pytest.raises(OSError):
+        ChatClient(url, "none", wait=0.01)("hi")
+    assert len(seen) == 4
+    server.shutdown()
+    with pytest.raises(OSError):
+        ChatClient(url, "m", wait=0.01, tries=2, timeout=0.5)("hi")
+
+
+def test_command_line_stages(spark, tmp_path):
+    import json
+
+    from quillspark.__main__ import main
+
+    (tmp_path / "texts").mkdir()
+    (tmp_path / "texts" / "one.txt").write_text("A first line, and more words here.\n" * 40)
+    main(["pipeline", str(tmp_path / "texts"), str(tmp_path / "out"), "--gap", "5"])
+    names = sorted(p.name.split("-")[0] for p in (tmp_path / "out").iterdir())
+    assert names == ["clean", "clusters", "records", "report"]
+    before = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "out").iterdir()}
+    main(["pipeline", str(tmp_path / "texts"), str(tmp_path / "out"), "--gap", "5", "--skip", "report"])
+    assert before == {p.name: p.stat().st_mtime_ns for p in (tmp_path / "out").iterdir()}
+    main(["score", str(tmp_path / "texts"), str(tmp_path / "scored")])
+    assert spark.read.parquet(str(tmp_path / "scored")).count() > 0
+    raw = {"metadata": {"corpus": "c"}, "inference_results": {"total_tokens": 2, "tokens": ["a", "b"], "offsets": [[0, 1], [2, 3]], "predictions": [0, 1], "probabilities": [0.1, 0.9]}}
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw" / "r.json").write_text(json.dumps(raw))
+    main(["convert", str(tmp_path / "raw"), str(tmp_path / "converted")])
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "converted" / "tokens")).collect()] == [("r", 1, "b", 2)]
+    assert spark.read.parquet(str(tmp_path / "converted" / "clusters")).count() == 1

@@ -41,3 +41,26 @@ def test_query(spark, duck, sf, name):
         want = duck.sql(sql)
         assert sorted(rows.columns) == sorted(want.columns)
         assert norm(rows.columns, got) == norm(want.columns, want.fetchall())
+
+
+def test_without_the_optional_parts(tmp_path):
+    """A copy without the training operators, and one where something they need is missing, still has every core query."""
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    want = f"{len(registry.queries())} {len(registry.oracle_sql())}"
+
+    def count(folder):
+        return subprocess.run([sys.executable, "-c", code], cwd=folder, env={**os.environ, "PYTHONPATH": ""}, capture_output=True, text=True, check=True).stdout.strip()
+
+    bare = tmp_path / "bare"
+    shutil.copytree(root, bare, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
+    assert count(bare) == want
+    (bare / "quillspark" / "llm").mkdir()
+    (bare / "quillspark" / "llm" / "__init__.py").write_text("")
+    (bare / "quillspark" / "llm" / "registry.py").write_text("import a_module_that_is_not_here\n")
+    (bare / "corpus_pipeline.py").write_text("import quillspark.llm.registry\n")
+    assert count(bare) == want
