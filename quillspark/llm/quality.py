@@ -32,7 +32,7 @@ from ._common import bucketed, drop_intermediates, materialize, small, table, wh
 HIGH, PRIOR, HELD_OUT = 0.995, 64, 5
 FEW, FEW_BYTES = 25, 10_000
 #: Bytes of text after which a block is closed, at the end of a document.
-BLOCK_BYTES, LEVEL = 16 << 20, 6
+BLOCK_BYTES, LEVEL = 24 << 20, 9
 #: Ids of trusted documents, and texts that are rejected, that may be broadcast to a scan of the texts; more are joined by a shuffle.
 TRUSTED = REJECTED = 1_000_000
 BLOCK = "block long, doc_id array<long>, lang array<string>, h1 array<long>, h2 array<long>, sizes array<long>, data binary, keys binary"
@@ -58,7 +58,7 @@ def ngram_counts(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in T.pieces(batch, "text", 1 << 23):
+            for part in T.pieces(batch, "text", 1 << 22):
                 key, c = np.unique(K.keys(*T.utf8(part.column(0))), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(c)], ["key", "c"])
 
@@ -179,7 +179,7 @@ def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             offsets = np.concatenate([[0], np.cumsum(sizes.to_numpy())])
             data = np.frombuffer(pa.decompress(batch.column(5)[i].as_py(), int(offsets[-1]), codec="zstd", asbytes=True) if offsets[-1] else b"", np.uint8)
             costs = batch.column(6)[i].values
-            known = [np.zeros(0, np.int64), np.zeros(0)] if costs is None else [costs.field(k).to_numpy() for k in range(2)]
+            known = [np.zeros(0, np.int64), np.zeros(0, np.float32)] if costs is None else [costs.field(k).to_numpy() for k in range(2)]
             yield pa.RecordBatch.from_arrays([ids, lang, h1, h2, sizes, pa.array(K.score(data, offsets, *known))], [c.split()[0] for c in SCORED.split(", ")])
 
 
@@ -191,7 +191,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = smoothed(ngram_counts(texts))
     blocks = bucketed(pack_blocks(_keyed(docs, F.col("text"))), "quality-blocks", "block")
     bits = materialize(ngram_bits(model, materialize(_asked(blocks).select("key").distinct(), "ngrams-asked")), "ngram-bits")
-    costs = _asked(blocks).join(bits, "key").groupBy("block").agg(F.collect_list(F.struct("key", "bits")).alias("costs"))
+    costs = _asked(blocks).join(bits, "key").groupBy("block").agg(F.collect_list(F.struct("key", F.col("bits").cast("float"))).alias("costs"))
     rows = blocks.drop("keys").join(costs, "block", "left").drop("block").mapInArrow(_scores, SCORED)
     scored = materialize(rows, "scored")
     drop_intermediates(docs.sparkSession, mark, (scored,))

@@ -1,22 +1,26 @@
 """Exact repeats of long byte strings by bucket-pointer refinement.
 
-Which positions start a 200-byte string that also starts elsewhere? A suffix sorter by bucket-pointer refinement
-buckets suffixes by their first q bytes and refines a bucket of two or more by the bucket ids at later offsets,
-which it has already; buckets of one are done. Here the bucket ids are 64-bit hashes, so that tasks agree on them
-without talking, and the refinement is kept sparse:
+Which positions start a 200-byte string that also starts elsewhere? Every position begins in the bucket of its first q bytes. A
+bucket pointer of depth h is refined by the pointer of depth h that stands h bytes later, which names its next h bytes: the
+pair is the pointer of depth 2 h. The new pointers are reused the same way, so depth 200 takes three rounds over the positions of
+a text. Pointers are 64-bit hashes of pairs of pointers instead of places in a sorted order, so that tasks agree on them without a
+global sort; what is sorted are the pointers of a bucket that is not resolved.
 
-1. Every window of LENGTH bytes belongs to the bucket of its least q-gram id, at the first place where it has it.
+Of all positions only a few go through the shuffles:
+
+1. Every window of LENGTH bytes goes with its least first pointer (its bucket), at the first place where it has it.
    Neighbouring windows mostly share it, so a text is a short list of segments: runs of windows with one such place.
-2. A bucket with one segment in the whole table is done. A bucket with more is refined by the id of the whole segment,
-   the string its windows cover: segments with equal ids repeat in full.
+2. A bucket with one segment in the whole table is resolved. A bucket with more is refined by the deep pointers of the segment's
+   first and last window, which name all that the segment covers: segments with equal ones repeat in full.
 3. In a bucket of unlike segments (where copies begin, end or were edited) the windows are cut into blocks of BLOCK,
    counted from the q-gram, so that equal windows stand in equal blocks. The string that all windows of a block share
-   is the next bucket, the string they cover the next id, and step 2 is applied again: a block whose shared string
-   comes once is done, and so are blocks with equal ids.
-4. What is left, a few blocks at each edge, is carried down to single windows.
+   is the next bucket, the deep pointers of its ends refine it, and step 2 is applied again: a block whose shared string
+   comes once is resolved, and so are blocks with equal pointers.
+4. What is left, a few blocks at each edge, goes on with the deep pointers of its single windows.
 
 A content that many segments have goes down once. All counts are aggregated before the shuffle, then joined back, where Spark
-splits skewed keys; no bucket is ever collected.
+splits skewed keys; no bucket is ever collected. Equal means equal bucket and equal pointers, 128 bits together; documents are known
+by 128 bits of their id and text.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._common import materialize, small, table
+from ._common import drop_intermediates, materialize, small, table, written
 
 LENGTH, Q, BLOCK = 200, 48, 16
 #: Texts asked for whose keys may be broadcast; more are joined by a shuffle.
@@ -52,15 +56,31 @@ def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(ahead[: n - width + 1], behind[width - 1 : n])
 
 
+def pointers(data: np.ndarray, length: int = LENGTH, q: int = Q) -> tuple[np.ndarray, np.ndarray]:
+    """(pointers of depth q, of depth ``length``) of all positions that have so many bytes; each round combines pointers with later ones."""
+    sums = T.prefix_sums(data)
+    at = np.arange(len(data) - q + 1)
+    first = now = T.span_hash(sums, at, at + q)
+    depth = q
+    while depth < length:
+        step = min(depth, length - depth)
+        now = T.mix(now[:-step] * T.MULTIPLIERS[10] + now[step:] * T.MULTIPLIERS[11] + np.uint64(step))
+        depth += step
+    return first, now
+
+
+def _covered(deep: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """What the windows from ``first`` to ``last`` cover, by the pointers of these two, which overlap or touch."""
+    return T.mix(deep[first] * T.MULTIPLIERS[12] + deep[last] * T.MULTIPLIERS[13] + (last - first).astype(np.uint64))
+
+
 def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, q: int = Q) -> tuple[np.ndarray, ...]:
     """(row, first window, last window, place of the q-gram, bucket, id) of the segments of all rows; windows are counted in their row."""
     windows = np.maximum(np.diff(offsets) - length + 1, 0)
     none = np.zeros(0, np.int64)
     if not windows.any():
         return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-    sums = T.prefix_sums(data)
-    at = np.arange(len(data) - q + 1)
-    grams = T.span_hash(sums, at, at + q)
+    grams, deep = pointers(data, length, q)
     width = length - q + 1
     least = sliding_minimum(grams, width)
     valid = np.zeros(len(least) + 1, bool)
@@ -98,10 +118,10 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, q: int
         keep = ~again
         first, last, place, bucket = (np.concatenate([u[keep], v[some]]) for u, v in ((first, start), (last, end), (place, at), (bucket, x[of])))
     row = np.searchsorted(offsets, first, "right") - 1
-    return row, first - offsets[row], last - offsets[row], place - offsets[row], bucket, T.span_hash(sums, first, last + length)
+    return row, first - offsets[row], last - offsets[row], place - offsets[row], bucket, _covered(deep, first, last)
 
 
-RUN = "did long, th int, bucket long, id long, first int, last int, place int, own boolean"
+RUN = "did long, th long, bucket long, id long, first int, last int, place int, own boolean"
 
 
 def _runs(part: pa.RecordBatch, row, bucket, ids, first, last, place, own) -> pa.RecordBatch:
@@ -123,14 +143,14 @@ def _segments(length: int, q: int):
     return run
 
 
-def _finer(length: int, block: int):
-    """(did, th, text, parts) -> the parts cut into blocks of windows, by what they share and what they cover; at 1 into windows."""
+def _finer(length: int, q: int, block: int):
+    """(did, th, text, parts) -> the parts cut into blocks of windows, by what they share and what they cover; at 1 into windows, whose bucket is their first pointer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in T.pieces(batch, "text", 1 << 19):
                 data, offsets = T.utf8(part.column(2))
-                sums = T.prefix_sums(data)
+                grams, deep = pointers(data, length, q)
                 lists = part.column(3)
                 owner = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
                 flat = lists.flatten()
@@ -143,8 +163,12 @@ def _finer(length: int, block: int):
                 place, rows = place[at], owner[at]
                 start, end = np.maximum(first[at], place + k * block), np.minimum(last[at], place + k * block + block - 1)
                 base = offsets[rows]
-                covered = T.mix(T.span_hash(sums, base + start, base + end + length) + (start - place).view(np.uint64) * T.MULTIPLIERS[8] * np.uint64(block > 1))
-                shared = T.mix(T.span_hash(sums, base + place + k * block + block - 1, base + place + k * block + length) + k.view(np.uint64) * T.MULTIPLIERS[9]) if block > 1 else covered
+                if block > 1:
+                    covered = T.mix(_covered(deep, base + start, base + end) + (start - place).view(np.uint64) * T.MULTIPLIERS[8])
+                    shared = T.span_hash(T.prefix_sums(data), base + place + k * block + block - 1, base + place + k * block + length)
+                    shared = T.mix(shared + k.view(np.uint64) * T.MULTIPLIERS[9])
+                else:
+                    shared, covered = grams[base + start], deep[base + start]
                 yield _runs(part, rows, shared, covered, start, end, place, own[at])
 
     return run
@@ -173,18 +197,21 @@ def _with_texts(texts: DataFrame, parts: DataFrame) -> DataFrame:
 
 def removed_spans(data: DataFrame, length: int = LENGTH, q: int = Q) -> DataFrame:
     """(did, th, text) -> (did, th, spans): the windows' starts as runs [first, last], each window covering ``length`` bytes."""
+    mark = written()
     full, parts = _refine(data.mapInArrow(_segments(length, q), RUN), "segments")
     parts = materialize(parts, "parts")
     asked = materialize(parts.select("did", "th").distinct(), "asked")
     texts = materialize(data.join(small(asked, ASKED), ["did", "th"]).dropDuplicates(["did", "th"]), "texts")
-    blocks = _with_texts(texts, parts).mapInArrow(_finer(length, min(BLOCK, length)), RUN)
+    blocks = _with_texts(texts, parts).mapInArrow(_finer(length, q, min(BLOCK, length)), RUN)
     more, rest = _refine(blocks, "blocks")
     rest = materialize(rest, "rest")
-    windows = materialize(_with_texts(texts, rest).mapInArrow(_finer(length, 1), RUN).select("did", "th", "id", "first", "own"), "windows")
-    shared = windows.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("own")).where("n > 1 and own").select("id")
-    single = windows.where("own").join(materialize(shared, "shared-windows"), "id").select("did", "th", "first", F.col("first").alias("last"))
+    windows = materialize(_with_texts(texts, rest).mapInArrow(_finer(length, q, 1), RUN).select("did", "th", "bucket", "id", "first", "own"), "windows")
+    shared = windows.groupBy("bucket", "id").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("own")).where("n > 1 and own").select("bucket", "id")
+    single = windows.where("own").join(materialize(shared, "shared-windows"), ["bucket", "id"]).select("did", "th", "first", F.col("first").alias("last"))
     spans = full.unionByName(more).unionByName(single)
-    return materialize(spans.groupBy("did", "th").agg(F.collect_list(F.struct("first", "last")).alias("spans")), "spans")
+    spans = materialize(spans.groupBy("did", "th").agg(F.collect_list(F.struct("first", "last")).alias("spans")), "spans")
+    drop_intermediates(data.sparkSession, mark, (spans,))
+    return spans
 
 
 def merge_spans(first: np.ndarray, last: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -232,12 +259,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, q: int = Q, with_text:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (binary) and spans.
 
     A byte goes if some string of ``length`` bytes that covers it also starts anywhere else in the input. Defined cases:
-    null text is empty; texts shorter than ``length`` bytes lose nothing; null doc_id is an id like others; repeated
-    rows are copies of each other and lose all if long enough; an empty table gives no row; extra columns are ignored.
+    null text is empty; texts shorter than ``length`` bytes lose nothing; rows are told apart by 128 bits of doc_id and text, so
+    any number of them may share a doc_id or have none; repeated rows are copies of each other and lose all if long enough; very long
+    texts are one text like others; there are no ties, as every copy goes; an empty table gives no row; extra columns are ignored.
     """
     if not 0 < q <= length:
         raise ValueError("q must be between 1 and length")
-    data = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("did"), F.hash("text").alias("th"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    name = (F.col("doc_id").cast("long"), F.col("doc_id").isNull(), F.col("text"))
+    data = docs.select(F.xxhash64(F.lit(1), *name).alias("did"), F.xxhash64(F.lit(2), *name).alias("th"), name[0].alias("doc_id"), "text")
     spans = removed_spans(data.select("did", "th", "text").where(F.octet_length("text") >= length), length, q)
     extra = ", kept binary, spans array<struct<start long, end long>>" * with_text
     rows = data.join(spans, ["did", "th"], "left").select("doc_id", "text", "spans")

@@ -137,6 +137,35 @@ def test_repeats_against_brute_force(spark, odd_rows, length, q):
     assert sorted(map(tuple, repeats.remove_repeats(frame, length, q).collect()), key=str) == restated_removal(rows, length)
 
 
+def test_repeats_of_rows_without_an_id(spark):
+    """Unlike texts that share a null id, and ones that share an id, keep their own results."""
+    passage = prose(60, 77)
+    rows = [(None if i % 2 else 5, prose(60, i) + (passage if i % 7 == 0 else "")) for i in range(600)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(map(tuple, repeats.remove_repeats(frame).collect()), key=str) == restated_removal(rows, 200)
+
+
+def test_pointers_name_their_bytes():
+    raw = np.frombuffer(("abcab" * 80 + prose(200, 3)).encode(), np.uint8)
+    for length, q in ((200, 48), (30, 7), (10, 10), (9, 1)):
+        first, deep = repeats.pointers(raw, length, q)
+        for got, n in ((first, q), (deep, length)):
+            of = collections.defaultdict(set)
+            for i in range(len(raw) - n + 1):
+                of[raw[i : i + n].tobytes()].add(int(got[i]))
+            assert len(got) == len(raw) - n + 1 and all(len(x) == 1 for x in of.values()) and len(of) == len(set.union(*of.values()))
+
+
+def test_buckets_that_collide_are_parted_by_pointers(spark, monkeypatch):
+    """With buckets of 4 bits nearly all segments collide; results are the same, as equal pointers are asked for too."""
+    rows = [(i, prose(60, i) + prose(50, 1000 + i % 5)) for i in range(40)]
+    made = spark.createDataFrame([(i, i, t) for i, t in rows], "did long, th long, text string")
+    runs = made.mapInArrow(repeats._segments(200, 48), repeats.RUN)
+    full, _ = repeats._refine(runs, "plain")
+    forced, _ = repeats._refine(runs.withColumn("bucket", F.pmod("bucket", F.lit(16))), "forced")
+    assert 0 < full.count() == forced.count() and full.exceptAll(forced).count() == 0
+
+
 def test_repeats_keep_texts(spark, odd):
     rows = repeats.remove_repeats(odd, with_text=True)
     for r in rows.collect():
