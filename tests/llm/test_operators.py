@@ -76,37 +76,78 @@ def test_mix_comes_near_its_targets(spark):
 
 
 def restated_matches(text, templates, share):
-    """Best alignment of each template anywhere, by the full table."""
-    words = re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", text.lower())
-    out = set()
-    for name, template in templates.items():
-        t = re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", template.lower())
-        best, above = (0.0, 0), [(0.0, 0)] * (len(words) + 1)
+    """(template, first byte, end byte, matched words) by full tables of edit distances."""
+    split = lambda t: [(m.group().lower(), *m.span()) for m in re.finditer(rb"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", t.encode())]
+    words, out = split(text), []
+    for name, (template, asked) in templates.items():
+        t, most = [w for w, *_ in split(template)], int((1 - share) * len(split(template)) + 1e-9)
+        table = [[0] * (len(words) + 1)]
         for a in t:
-            now = [(0.0, 0)]
-            for j, b in enumerate(words, 1):
-                d = above[j - 1]
-                c = (d[0] + 1, d[1] + 1) if a == b else max((d[0] - 0.5, d[1]), (above[j][0] - 0.5, above[j][1]), (now[-1][0] - 0.5, now[-1][1]))
-                now.append(max(c, (0.0, 0)))
-                best = max(best, now[-1])
-            above = now
-        if best[1] >= share * len(t):
-            out.add(name)
-    return out
+            now = [table[-1][0] + 1]
+            for j, (b, *_) in enumerate(words):
+                now.append(min(table[-1][j] + (a != b), table[-1][j + 1] + 1, now[-1] + 1))
+            table.append(now)
+        taken = []
+        for cost, end in sorted((c, j) for j, c in enumerate(table[-1]) if c <= most and t):
+            i, j, pairs = len(t), end, []
+            while i:
+                equal = j > 0 and t[i - 1] == words[j - 1][0]
+                if j > 0 and table[i - 1][j - 1] + (not equal) == table[i][j]:
+                    i, j = i - 1, j - 1
+                    pairs += [(i, j)] * equal
+                elif table[i - 1][j] + 1 == table[i][j]:
+                    i -= 1
+                else:
+                    j -= 1
+            first, last = pairs[-1][1], pairs[0][1] + 1
+            if all(last <= x or y <= first for x, y in taken) and {w for w, *_ in split(asked)} <= {t[i] for i, _ in pairs}:
+                taken.append((first, last))
+                out.append((name, words[first][1], words[last - 1][2], len(pairs)))
+    return sorted(out)
 
 
 def test_license_scan(spark, odd):
-    grant = licenses.TEMPLATES["MIT"]
-    texts = [prose(50, 1) + " " + grant + " " + prose(30, 2), near(grant, 3, 1), "licensed under the APACHE license version 2.0", grant[: len(grant) // 2], prose(80, 3), None, ""]
+    whole = {n: licenses.TEMPLATES[n][0] for n in licenses.TEMPLATES}
+    notices = [n for n in whole if len(whole[n]) < 130]
+    texts = [prose(20, 1) + " " + whole["MIT"] + " " + prose(12, 2), near(whole["ISC"], 12, 1), "licensed under the APACHE license version 2.0", whole["MIT"][: len(whole["MIT"]) // 2], prose(80, 3), None, "", "Released under this MIT License.", "Released under the Apache License."]
+    texts += [" ".join(whole[n] for n in notices), near(whole["Zlib"], 9, 3).replace("software", "very good software"), "ü é " + whole["MIT-notice"] + " " + whole["MIT-notice"] * 3, near(whole["GPL-header"], 20, 5)]
+    texts += [" ".join(w for k, w in enumerate(whole["MPL-2.0-header"].split()) if k % 6 != 1), re.sub(r"(\w+ \w+ \w+ \w+) ", r"\1 so ", whole["EPL-2.0-header"]), "4.0 cc by nc 4 x 0 licensed under cc by-nc 4.0 0 cc"]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = licenses.scan_licenses(frame).collect()
-    assert {(r.doc_id, r.template) for r in got} == {(i, n) for i, t in enumerate(texts) if t for n in restated_matches(t, licenses.TEMPLATES, licenses.COVERAGE)}
-    first = next(r for r in got if r.doc_id == 0)
-    assert texts[0].encode()[first.start : first.end].decode() == grant.strip('"').rstrip(".") and first.coverage == 1
+    want = {i: restated_matches(t, licenses.TEMPLATES, licenses.COVERAGE) for i, t in enumerate(texts) if t}
+    assert len(got) > 25
+    for i, matches in want.items():
+        assert sorted((r.template, r.start, r.end, r.matched_words) for r in got if r.doc_id == i) == matches, texts[i]
+    assert {n for n, *_ in want[7]} == {"MIT-notice"} and not want[8] and "MIT" in {n for n, *_ in want[0]}
+    first = next(r for r in got if r.doc_id == 0 and r.template == "MIT")
+    assert texts[0].encode()[first.start : first.end].decode() == whole["MIT"].rstrip(".") and first.coverage == 1
     assert licenses.scan_licenses(odd).count() == 0 == licenses.scan_licenses(frame.limit(0)).count()
     assert licenses.scan_licenses(frame, {"none": "..."}).count() == 0
 
 
+def test_every_acceptable_edit_leaves_fingerprints():
+    """Templates of each length against random edits at the limit, by the full tables."""
+    rng = random.Random(8)
+    for n in (1, 2, 4, 5, 6, 9, 10, 14, 15, 16, 20, 33, 60):
+        words = [f"w{i % 40}" for i in rng.sample(range(400), n)]
+        scanner = licenses.Scanner({"t": (" ".join(words), "")}, 0.8)
+        for _ in range(25):
+            some = list(words)
+            for _ in range(licenses.edits(n, 0.8)):
+                at, kind = rng.randrange(len(some)), rng.randrange(3)
+                some[at : at + 1] = [] if kind == 0 and len(some) > 1 else [f"new{rng.randrange(9)}"] + ([some[at]] if kind == 1 else [])
+            text = " ".join(["a", "b", *words[:2], *some, "c", *words[-1:]])
+            assert [r[1:5] for r in scanner.scan(pa.array([text]))] == sorted(restated_matches(text, {"t": (" ".join(words), "")}, 0.8), key=lambda r: r[1]) or sorted(r[1:5] for r in scanner.scan(pa.array([text]))) == restated_matches(text, {"t": (" ".join(words), "")}, 0.8)
+
+
+def test_templates_from_a_table(spark, monkeypatch):
+    monkeypatch.setattr(licenses, "SCAN_BYTES", 20)
+    kinds = spark.createDataFrame([("a", "one two three four five", None), ("b", "six seven eight nine", "nine"), (None, "x", ""), ("c", None, "")], "name string, text string, asked string")
+    docs = spark.createDataFrame([(1, "one two three 4 five six seven eight nine"), (2, "long " * 200_000 + "one two three four five")], "doc_id long, text string")
+    got = licenses.scan_licenses(docs, kinds)
+    assert sorted((r.doc_id, r.template, r.matched_words) for r in got.collect()) == [(1, "a", 4), (1, "b", 4), (2, "a", 5)]
+
+
 # 3 repeats
 
 
