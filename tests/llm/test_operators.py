@@ -217,28 +217,114 @@ def test_repeats_keep_texts(spark, odd):
 # 4 media
 
 
-def test_copies_against_all_pairs(spark):
+KIND = "id long, media binary"
+
+
+def brute_copies(spark, queries, images):
+    """Every corner of every query against every corner of every image, then the same vote."""
+    corners = lambda rows: [(i, k, c) for i, m in rows for k, c in enumerate(_images.describe(_images.read_image(m)))]
+    ask, known = corners(queries), corners(images)
+    bits = lambda rows: np.frombuffer(b"".join(c[4] for *_, c in rows), "<u8").reshape(-1, 2)
+    a, b = bits(ask), bits(known)
+    pairs = []
+    for n, row in enumerate(a):
+        far = np.bitwise_count(b ^ row).sum(1)
+        pairs += [(*ask[n][:2], *known[m][:2]) for m in np.flatnonzero(far <= media.DISTANCE).tolist()]
+    frame = lambda rows: spark.createDataFrame([(i, k, *map(float, c[:4])) for i, k, c in rows], "id long, corner int, x double, y double, scale double, angle double")
+    found = media.vote(spark.createDataFrame(pairs, "q long, qc int, r long, rc int"), frame(ask), frame(known))
+    return {(r.q, r.r) for r in found.collect()}
+
+
+def turned(image, angle, scale=1.0, noise=0.0, seed=0):
+    """The middle of the image, turned by any angle, resized, with noise."""
+    h, w = image.shape
+    n, m = int(h * 0.7 * scale), int(w * 0.7 * scale)
+    y, x = (np.mgrid[:n, :m] - np.array([n - 1, m - 1])[:, None, None] / 2) / scale
+    fy, fx = np.cos(angle) * y - np.sin(angle) * x + (h - 1) / 2, np.sin(angle) * y + np.cos(angle) * x + (w - 1) / 2
+    y0, x0 = np.clip(fy.astype(int), 0, h - 2), np.clip(fx.astype(int), 0, w - 2)
+    dy, dx = np.clip(fy - y0, 0, 1), np.clip(fx - x0, 0, 1)
+    value = (image[y0, x0] * (1 - dx) + image[y0, x0 + 1] * dx) * (1 - dy) + (image[y0 + 1, x0] * (1 - dx) + image[y0 + 1, x0 + 1] * dx) * dy
+    return value + np.random.default_rng(seed).normal(0, noise, value.shape) if noise else value
+
+
+def smooth_image(seed, size):
+    rng = np.random.default_rng(seed)
+    field = sum(_images.resize(rng.normal(size=(size // k, size // k)), k * 1.0)[: size // 8 * 8, : size // 8 * 8] * k**0.7 for k in (4, 8) if size % k == 0)
+    return np.clip(128 + 45 * field / field.std(), 0, 255)
+
+
+def test_copies_against_brute_force(spark):
     rng = np.random.default_rng(3)
-    images = {i: _images.texture(rng.normal(size=32)) for i in range(60)}
+    images = {i: _images.texture(rng.normal(size=32)) for i in range(60)} | {100 + i: smooth_image(i, 160) for i in range(16)}
     rows = [(i, _images.write_pgm(x)) for i, x in images.items()] + [(90, _images.write_pgm(images[3])), (91, None), (92, b"no image"), (93, b"P5 3 3 255\n123456789"), (None, _images.write_pgm(images[1]))]
-    queries = [(i, _images.write_pgm(_images.edited(images[i], i))) for i in range(0, 60, 3)] + [(95, None), (96, b"")]
-    kind = "id long, media binary"
-    got = media.find_copies(spark.createDataFrame(queries, kind), spark.createDataFrame(rows, kind)).collect()
+    queries = [(i, _images.write_pgm(_images.edited(images[i], i))) for i in range(0, 60, 3)]
+    queries += [(200 + 4 * i + k, _images.write_pgm(turned(images[100 + i], *e))) for i in range(16) for k, e in enumerate([(0.4, 1.0, 0.0), (0.0, 0.55, 0.0), (2.2, 0.8, 0.0), (0.1, 1.0, 4.0)])] + [(195, None), (196, b"")]
+    extra = lambda r: spark.createDataFrame([(*x, "w", 1) for x in r], KIND + ", word string, parts int").repartition(5)
+    found, members = media.find_copies(extra(queries), extra(rows))
+    got = found.collect()
     pairs = {(r.query_id, r.match_id) for r in got}
-    truth = {(i, i) for i in range(0, 60, 3)}
-    assert len(pairs & truth) >= 0.9 * len(truth) and len(pairs - truth) <= 1
-    assert next(r for r in got if r.match_id == 3).n_class == 2
-    assert media.find_copies(spark.createDataFrame([], kind), spark.createDataFrame(rows, kind)).count() == 0
+    want = brute_copies(spark, queries, [r for r in rows if r[0] not in (90, None)])
+    truth = {(i, i) for i in range(0, 60, 3)} | {(200 + 4 * i + k, 100 + i) for i in range(16) for k in range(4)}
+    assert len(pairs & want) >= 0.9 * len(want) and not pairs - want
+    assert len(pairs & truth) >= 0.9 * len(truth) and len(pairs - truth) <= 3
+    assert next(r for r in got if r.match_id == 3).n_class == 2 and {r.id for r in members.where("class_id = 3").collect()} == {3, 90}
+    assert media.find_copies(spark.createDataFrame([], KIND), extra(rows))[0].count() == 0 == media.find_copies(extra(queries), spark.createDataFrame([], KIND))[0].count()
+
+
+def test_words_that_many_images_share(spark, monkeypatch):
+    """The same corners in every image, as of a logo, far over the size of a part; ids that repeat and ties."""
+    rng = np.random.default_rng(9)
+    logo, images = _images.texture(rng.normal(size=32)), {}
+    for i in range(30):
+        image = _images.texture(rng.normal(size=32), 96)
+        image[:64, :64] = logo
+        images[i] = _images.write_pgm(image)
+    rows = [*images.items(), (3, images[3]), (4, images[5])]
+    query = [(7, _images.write_pgm(logo))]
+    search = lambda: sorted(map(tuple, media.find_copies(spark.createDataFrame(query, KIND), spark.createDataFrame(rows, KIND))[0].collect()))
+    whole = search()
+    monkeypatch.setattr(media, "PART", 3)
+    want = {r for _, r in brute_copies(spark, query, list(images.items()))}
+    assert search() == whole and len(want) >= 25 and len({r[1] for r in whole} & want) >= 0.9 * (len(want) - 1)
 
 
 def test_unlike_images_with_one_thumbnail(spark):
     rng, slope = np.random.default_rng(5), np.linspace(-90, 90, 64)[:, None]
     images = {i: 128 + slope + (_images.texture(rng.normal(size=32)) - 128) * 0.25 for i in range(24)}
-    kind = "id long, media binary"
     rows = [(i, _images.write_pgm(x)) for i, x in images.items()]
     queries = [(i, _images.write_pgm(_images.edited(x, i))) for i, x in images.items()]
-    got = media.find_copies(spark.createDataFrame(queries, kind), spark.createDataFrame(rows, kind)).collect()
-    assert len({(r.query_id, r.match_id) for r in got if r.query_id == r.match_id}) >= 0.8 * len(images)
+    got = media.find_copies(spark.createDataFrame(queries, KIND), spark.createDataFrame(rows, KIND))[0].collect()
+    assert len({(r.query_id, r.match_id) for r in got if r.query_id == r.match_id}) >= 0.9 * len(images)
+
+
+def png(image, colour=False, filters=(0,)):
+    """Written by the rules of the format, a filter per row in turn."""
+    rows = np.stack([image] * 3, 2) if colour else image[:, :, None]
+    h, w, n = rows.shape
+    rows, out, above = rows.astype(np.int32), b"", np.zeros((w, n), np.int32)
+    for y in range(h):
+        kind, line = filters[y % len(filters)], rows[y]
+        left, corner = np.vstack([np.zeros((1, n), np.int32), line[:-1]]), np.vstack([np.zeros((1, n), np.int32), above[:-1]])
+        base = left + above - corner
+        a, b, c = abs(base - left), abs(base - above), abs(base - corner)
+        guess = [0, left, above, (left + above) // 2, np.where((a <= b) & (a <= c), left, np.where(b <= c, above, corner))][kind]
+        out += bytes([kind]) + ((line - guess) & 255).astype(np.uint8).tobytes()
+        above = line
+    chunk = lambda k, d: len(d).to_bytes(4) + k + d + zlib.crc32(k + d).to_bytes(4)
+    head = w.to_bytes(4) + h.to_bytes(4) + bytes([8, 2 if colour else 0, 0, 0, 0])
+    return _images.PNG + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(out)) + chunk(b"IEND", b"")
+
+
+def test_reading_images():
+    image = np.random.default_rng(1).integers(0, 256, (23, 31))
+    for filters in ((0,), (1,), (2,), (3,), (4,), (4, 3, 2, 1, 0)):
+        assert (_images.read_image(png(image, filters=filters)) == image).all()
+        assert np.abs(_images.read_image(png(image, True, filters)) - image).max() < 0.01
+    assert (_images.read_image(_images.write_pgm(image)) == image).all()
+    good = png(image)
+    for bad in (None, b"", b"P5", good[:40], good[:60] + b"x" * 9, _images.PNG, good.replace(b"IDAT", b"XDAT")):
+        assert _images.read_image(bad) is None
+    assert len(_images.describe(np.random.default_rng(2).integers(0, 256, (1400, 900)).astype(np.float32))) > 300
 
 
 # 5 urls
