@@ -268,6 +268,9 @@ def test_copies_against_brute_force(spark):
     assert len(pairs & want) >= 0.9 * len(want) and not pairs - want
     assert len(pairs & truth) >= 0.9 * len(truth) and len(pairs - truth) <= 3
     assert next(r for r in got if r.match_id == 3).n_class == 2 and {r.id for r in members.where("class_id = 3").collect()} == {3, 90}
+    for size in (1000, 2):
+        lists = media.match_lists(found, size).collect()
+        assert {(r.query_id, m) for r in lists for m in r.match_ids} == pairs and all(r.n_matches == sum(q == r.query_id for q, _ in pairs) for r in lists)
     assert media.find_copies(spark.createDataFrame([], KIND), extra(rows))[0].count() == 0 == media.find_copies(extra(queries), spark.createDataFrame([], KIND))[0].count()
 
 
