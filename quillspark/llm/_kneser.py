@@ -39,7 +39,7 @@ def unpack_keys(data: bytes) -> np.ndarray:
     return np.cumsum(raw.reshape(8, n).T.copy().view("<i8").ravel())
 
 
-def score(data: np.ndarray, offsets: np.ndarray, known: np.ndarray, bits: np.ndarray, size: int = 1 << 21) -> np.ndarray:
+def score(data: np.ndarray, offsets: np.ndarray, known: np.ndarray, bits: np.ndarray, size: int) -> np.ndarray:
     """Cost in bits of each row, ``bits`` being the costs of the keys ``known``, among which are all of the rows'."""
     index = pd.Index(known)
     out = np.zeros(len(offsets) - 1)

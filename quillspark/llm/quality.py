@@ -2,7 +2,7 @@
 
 The n-grams are runs of ORDER bytes of UTF-8, so no script or letter case is lumped together and nothing is out of vocabulary. The
 n-grams of the trusted texts are counted by shards of the key, lower orders count distinct continuations, and the model is
-a table of discounted probabilities and back-off weights that grows with the trusted text; no task and no driver holds it.
+these tables of counts, which grow with the trusted text; no task and no driver holds them.
 
 Documents are scored by joins with those counts. Texts are packed into blocks, of which each names its distinct n-grams once. The
 n-grams that any block names get their costs by joins with the model, from the lowest order up; the costs go back to the
@@ -32,7 +32,9 @@ from ._common import bucketed, drop_intermediates, materialize, small, table, wh
 HIGH, PRIOR, HELD_OUT = 0.995, 64, 5
 FEW, FEW_BYTES = 25, 10_000
 #: Bytes of text after which a block is closed, at the end of a document.
-BLOCK_BYTES, LEVEL = 24 << 20, 9
+BLOCK_BYTES, LEVEL = 16 << 20, 9
+#: Bytes of text whose n-grams are worked on at once, at some 100 bytes of memory each.
+PIECE = 1 << 19
 #: Ids of trusted documents, and texts that are rejected, that may be broadcast to a scan of the texts; more are joined by a shuffle.
 TRUSTED = REJECTED = 1_000_000
 BLOCK = "block long, doc_id array<long>, lang array<string>, h1 array<long>, h2 array<long>, sizes array<long>, data binary, keys binary"
@@ -58,7 +60,7 @@ def ngram_counts(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in T.pieces(batch, "text", 1 << 22):
+            for part in T.pieces(batch, "text", PIECE):
                 key, c = np.unique(K.keys(*T.utf8(part.column(0))), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(c)], ["key", "c"])
 
@@ -73,34 +75,22 @@ def _suffix(n: int) -> Column:
     return F.col("key") % F.lit(K.SYMBOLS**n)
 
 
-def _discount(c: Column) -> Column:
-    return F.when(c == 1, F.col("d1")).when(c == 2, F.col("d2")).otherwise(F.col("d3"))
+def discounts(grams: DataFrame) -> tuple[float, float, float]:
+    """Of counts of one, two, and more, from the counts of counts: four numbers come to the driver."""
+    n = [0, *grams.agg(*[F.count_if(F.col("c") == k) for k in (1, 2, 3, 4)]).first()]
+    y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
+    return tuple(max(0.05, min(float(k), k - (k + 1) * y * n[k + 1] / n[k] if n[k] else 0.5 * k)) for k in (1, 2, 3))
 
 
-def smoothed(counts: DataFrame) -> DataFrame:
-    """(key, c) of the highest order -> (n, seen, key, value): for each order n the discounted probability of each seen n-gram,
-    and (not seen) the weight that each context leaves to the next shorter one.
+def fit_orders(counts: DataFrame) -> list[tuple[DataFrame, tuple[float, float, float]]]:
+    """(key, c) of the highest order -> for each order from the lowest its counts (key, c) and discounts.
 
-    Orders below the highest count distinct n-grams one symbol longer. The three discounts of an order come from its counts of counts.
+    Orders below the highest count distinct n-grams one symbol longer.
     """
     orders = [materialize(counts, "ngrams")]
     for n in range(K.ORDER - 1, 0, -1):
-        orders.insert(0, orders[0].groupBy(_suffix(n).alias("key")).agg(F.count(F.lit(1)).alias("c")))
-    out = []
-    for n, grams in enumerate(orders, 1):
-        seen = grams.agg(*[F.count_if(F.col("c") == k).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)])
-        y = F.when(F.col("n1") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(0.5)
-        d = [F.greatest(F.lit(0.05), F.least(F.lit(float(k)), F.when(F.col(f"n{k}") > 0, k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")).otherwise(0.5 * k))).alias(f"d{k}") for k in (1, 2, 3)]
-        grams = grams.join(F.broadcast(seen.select(*d))).select(_context().alias("context"), "key", "c", "d1", "d2", "d3", _discount(F.col("c")).alias("off"))
-        share = [F.count_if(F.col("c") == k if k < 3 else F.col("c") >= 3) * F.first(f"d{k}") for k in (1, 2, 3)]
-        contexts = grams.groupBy("context").agg(F.sum("c").alias("total"), (share[0] + share[1] + share[2]).alias("off_total"))
-        joined = grams.join(contexts, "context")
-        out.append(joined.select(F.lit(n).alias("n"), F.lit(True).alias("seen"), "key", ((F.col("c") - F.col("off")) / F.col("total")).alias("value")))
-        out.append(contexts.select(F.lit(n), F.lit(False), F.col("context"), F.col("off_total") / F.col("total")))
-    every = out[0]
-    for rows in out[1:]:
-        every = every.union(rows)
-    return materialize(every, "smoothed")
+        orders.insert(0, materialize(orders[0].groupBy(_suffix(n).alias("key")).agg(F.count(F.lit(1)).alias("c")), "ngrams"))
+    return [(grams, discounts(grams)) for grams in orders]
 
 
 def pack_blocks(docs: DataFrame) -> DataFrame:
@@ -110,7 +100,7 @@ def pack_blocks(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, size = TaskContext.get().partitionId() << 32, 0
         rows: list[pa.RecordBatch] = []
-        texts: list[np.ndarray] = []
+        texts: list[bytes] = []
         sizes: list[np.ndarray] = []
         known: list[np.ndarray] = []
 
@@ -119,7 +109,7 @@ def pack_blocks(docs: DataFrame) -> DataFrame:
             joined = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
             lists = [pa.ListArray.from_arrays(pa.array([0, len(joined)], pa.int32()), joined.column(k)) for k in range(4)]
             lists.append(pa.ListArray.from_arrays(pa.array([0, len(joined)], pa.int32()), pa.array(np.concatenate(sizes))))
-            data = pa.Codec("zstd", compression_level=LEVEL).compress(np.concatenate(texts).tobytes(), asbytes=True)
+            data = pa.Codec("zstd", compression_level=LEVEL).compress(b"".join(texts), asbytes=True)
             key = K.pack_keys(np.unique(np.concatenate(known)))
             out = pa.RecordBatch.from_arrays([pa.array([number]), *lists, pa.array([data], pa.binary()), pa.array([key], pa.binary())], names)
             number, size = number + 1, 0
@@ -128,10 +118,10 @@ def pack_blocks(docs: DataFrame) -> DataFrame:
             return out
 
         for batch in batches:
-            for part in T.pieces(batch, "text"):
+            for part in T.pieces(batch, "text", PIECE):
                 key, data, n = K.distinct(part.column(4))
                 rows.append(part.select([0, 1, 2, 3]))
-                texts.append(data.copy())
+                texts.append(data.tobytes())
                 sizes.append(n)
                 known.append(key)
                 size += len(data)
@@ -155,20 +145,24 @@ def _asked(blocks: DataFrame) -> DataFrame:
     return blocks.select("block", "keys").mapInArrow(run, "block long, key long")
 
 
-def ngram_bits(model: DataFrame, asked: DataFrame) -> DataFrame:
-    """(key) of distinct n-grams -> (key, bits), the interpolated cost of each under ``model`` (see ``smoothed``)."""
-    level = None
-    for n in range(1, K.ORDER + 1):
+def ngram_bits(model: list[tuple[DataFrame, tuple[float, float, float]]], asked: DataFrame) -> DataFrame:
+    """(key) of distinct n-grams -> (key, bits), the interpolated cost of each under ``model`` (see ``fit_orders``).
+
+    An n-gram's probability is its discounted share of its context, and what the context's discounts leave times the
+    probability of the n-gram without its first symbol; an unseen context leaves all.
+    """
+    lower = None
+    for n, (grams, (d1, d2, d3)) in enumerate(model, 1):
+        off = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
+        contexts = grams.groupBy(_context().alias("context")).agg(F.sum("c").alias("total"), (F.count_if(F.col("c") == 1) * d1 + F.count_if(F.col("c") == 2) * d2 + F.count_if(F.col("c") > 2) * d3).alias("off"))
         rows = asked if n == K.ORDER else asked.select(_suffix(n).alias("key")).distinct()
-        mine = lambda seen, name, n=n: model.where((F.col("n") == n) & (F.col("seen") == F.lit(seen))).select(F.col("key").alias(name), F.col("value").alias(f"{name}_value"))
-        rows = rows.select("key", _context().alias("context"), _suffix(n - 1).alias("rest") if n > 1 else F.lit(0).alias("rest"))
-        rows = rows.join(mine(True, "key"), "key", "left").join(mine(False, "context"), "context", "left")
-        lower = F.lit(1.0 / K.SYMBOLS)
-        if level is not None:
-            rows, lower = rows.join(level, "rest"), F.col("lower")
-        p = F.coalesce("key_value", F.lit(0.0)) + F.coalesce("context_value", F.lit(1.0)) * lower
-        level = rows.select(F.col("key").alias("rest"), p.alias("lower"))
-    return level.select(F.col("rest").alias("key"), (-F.log2(F.greatest("lower", F.lit(1e-30)))).alias("bits"))
+        rows = rows.join(grams.select("key", (F.col("c") - off).alias("rest")), "key", "left").withColumn("context", _context()).join(contexts, "context", "left")
+        below = F.lit(1.0 / K.SYMBOLS)
+        if lower is not None:
+            rows, below = rows.withColumn("shorter", _suffix(n - 1)).join(lower, "shorter"), F.col("below")
+        p = F.when(F.col("total").isNull(), below).otherwise((F.coalesce("rest", F.lit(0.0)) + F.col("off") * below) / F.col("total"))
+        lower = materialize(rows.select(F.col("key").alias("shorter"), p.alias("below")), "ngram-costs")
+    return lower.select(F.col("shorter").alias("key"), (-F.log2(F.greatest("below", F.lit(1e-30)))).alias("bits"))
 
 
 def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +174,7 @@ def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data = np.frombuffer(pa.decompress(batch.column(5)[i].as_py(), int(offsets[-1]), codec="zstd", asbytes=True) if offsets[-1] else b"", np.uint8)
             costs = batch.column(6)[i].values
             known = [np.zeros(0, np.int64), np.zeros(0, np.float32)] if costs is None else [costs.field(k).to_numpy() for k in range(2)]
-            yield pa.RecordBatch.from_arrays([ids, lang, h1, h2, sizes, pa.array(K.score(data, offsets, *known))], [c.split()[0] for c in SCORED.split(", ")])
+            yield pa.RecordBatch.from_arrays([ids, lang, h1, h2, sizes, pa.array(K.score(data, offsets, *known, PIECE))], [c.split()[0] for c in SCORED.split(", ")])
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -188,9 +182,9 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     mark = written()
     trusted = small(materialize(trusted_ids(labels), "trusted"), TRUSTED)
     texts = _keyed(docs, F.col("text")).join(trusted, "doc_id").where(~_held_out()).select("text")
-    model = smoothed(ngram_counts(texts))
+    model = fit_orders(ngram_counts(texts))
     blocks = bucketed(pack_blocks(_keyed(docs, F.col("text"))), "quality-blocks", "block")
-    bits = materialize(ngram_bits(model, materialize(_asked(blocks).select("key").distinct(), "ngrams-asked")), "ngram-bits")
+    bits = ngram_bits(model, materialize(_asked(blocks).select("key").distinct(), "ngrams-asked"))
     costs = _asked(blocks).join(bits, "key").groupBy("block").agg(F.collect_list(F.struct("key", F.col("bits").cast("float"))).alias("costs"))
     rows = blocks.drop("keys").join(costs, "block", "left").drop("block").mapInArrow(_scores, SCORED)
     scored = materialize(rows, "scored")
