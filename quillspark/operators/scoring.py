@@ -73,9 +73,10 @@ def argmax(logits: Column) -> Column:
 
 
 def softmax(logits: Column) -> Column:
-    shifted = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
-    total = F.aggregate(shifted, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(shifted, lambda x: x / total)
+    """The greatest element and the total are bound as variables, so that they aren't found anew for every element."""
+    bound = lambda value, body: F.transform(F.array(value), body)[0]
+    shifted = bound(F.array_max(logits), lambda top: F.transform(logits, lambda x: F.exp(x - top)))
+    return bound(shifted, lambda e: bound(F.aggregate(e, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(e, lambda x: x / total)))
 
 
 def token_table(scored: DataFrame, skip: int = 5) -> DataFrame:
