@@ -274,6 +274,18 @@ def test_copies_against_brute_force(spark):
     assert media.find_copies(spark.createDataFrame([], KIND), extra(rows))[0].count() == 0 == media.find_copies(extra(queries), spark.createDataFrame([], KIND))[0].count()
 
 
+def test_recall_among_look_alikes(spark):
+    """Images like each other, so that many matches rest on few corners, and those far apart in bits."""
+    rng = np.random.default_rng(11)
+    bases = rng.normal(size=(6, 32))
+    images = [_images.texture(bases[i % 6] + 0.2 * rng.normal(size=32)) for i in range(90)]
+    rows = [(i, _images.write_pgm(x)) for i, x in enumerate(images)]
+    queries = [(i, _images.write_pgm(_images.edited(images[i], i))) for i in range(0, 90, 5)]
+    got = media.find_copies(spark.createDataFrame(queries, KIND), spark.createDataFrame(rows, KIND))[0].collect()
+    pairs, want = {(r.query_id, r.match_id) for r in got}, brute_copies(spark, queries, rows)
+    assert len(want) >= 50 and not pairs - want and len(pairs) >= 0.9 * len(want)
+
+
 def test_words_that_many_images_share(spark, monkeypatch):
     """The same corners in every image, as of a logo, far over the size of a part; ids that repeat and ties."""
     rng = np.random.default_rng(9)
