@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm import _bm25, _codec, _images, _kneser, chat, components, decontaminate, licenses, media, mixing, neardup, quality, registry, repeats, tokens, urls
+from quillspark.llm import _bm25, _codec, _hamming, _images, _kneser, chat, components, decontaminate, licenses, media, mixing, neardup, quality, registry, repeats, tokens, urls
 from quillspark.llm import _text as T
 
 from .conftest import near, prose
@@ -286,6 +286,36 @@ def test_recall_among_look_alikes(spark):
     assert len(want) >= 50 and not pairs - want and len(pairs) >= 0.9 * len(want)
 
 
+def test_corners_near_the_distance(spark, monkeypatch):
+    """Every corner within DISTANCE bits meets, however its changed bits lie, and every match is found that brute force finds."""
+    rng = np.random.default_rng(4)
+    known = rng.integers(0, 2**64, (3000, 2), np.uint64)
+    known[:200] = known[0]
+    flips = np.zeros((600, 128), np.uint8)
+    for i, row in enumerate(flips):
+        row[rng.permutation(128)[: i % 24]] = 1
+    asked = known[np.arange(600) % 300 + 100] ^ np.packbits(flips, axis=1).view("<u8")
+    got = [pair for a, b in _hamming.Tables(known).near(asked, media.DISTANCE) for pair in zip(a.tolist(), b.tolist(), strict=True)]
+    far = np.bitwise_count(asked[:, None] ^ known[None]).sum(2)
+    assert len(got) == len(set(got)) and set(got) == set(zip(*map(np.ndarray.tolist, np.nonzero(far <= media.DISTANCE)), strict=True))
+    bases = rng.normal(size=(5, 32))
+    images = [_images.texture(bases[i % 5] + 0.2 * rng.normal(size=32)) for i in range(60)]
+    rows = [(i, _images.write_pgm(x)) for i, x in enumerate(images)]
+    queries = [(i, _images.write_pgm(_images.edited(images[i], i))) for i in range(0, 60, 4)]
+    search = lambda: {(r.query_id, r.match_id): r.votes for r in media.find_copies(spark.createDataFrame(queries, KIND), spark.createDataFrame(rows, KIND))[0].collect()}
+    whole = search()
+    assert len(whole) >= 40 and set(whole) == brute_copies(spark, queries, rows)
+    for name, size in (("PART", 300), ("ASKED", 60)):
+        monkeypatch.setattr(media, name, size)
+    assert search() == whole
+    block = lambda data: media.Block(np.arange(len(data)), np.append(0, np.cumsum([len(x) for x in data])), np.concatenate(data))
+    described = lambda rows: [np.array([(c[:4], np.frombuffer(c[4], "<u8")) for c in _images.describe(_images.read_image(m))], media.CORNER) for _, m in rows]
+    ask, index = block(described(queries)), block(described(rows))
+    votes = {(queries[q][0], r): n for q, r, n in media.block_copies(ask, index, index.tables())}
+    monkeypatch.setattr(media, "MATCHED", 5)
+    assert votes == whole == {(queries[q][0], r): n for q, r, n in media.block_copies(ask, index, index.tables())}
+
+
 def test_words_that_many_images_share(spark, monkeypatch):
     """The same corners in every image, as of a logo, far over the size of a part; ids that repeat and ties."""
     rng = np.random.default_rng(9)
