@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import _kneser as K
 from . import _text as T
-from ._common import bucketed, drop_intermediates, materialize, small, table, whole_row, written
+from ._common import bucketed, drop_intermediates, materialize, returning, small, table, whole_row, written
 
 HIGH, PRIOR, HELD_OUT = 0.995, 64, 5
 FEW, FEW_BYTES = 25, 10_000
@@ -35,6 +35,8 @@ FEW, FEW_BYTES = 25, 10_000
 BLOCK_BYTES, LEVEL = 16 << 20, 9
 #: Bytes of text whose n-grams are worked on at once, at some 100 bytes of memory each.
 PIECE = 1 << 19
+#: Keys beside the distinct ones of a block after which they are merged with these, if these are no more.
+MERGED = 1 << 18
 #: Ids of trusted documents, and texts that are rejected, that may be broadcast to a scan of the texts; more are joined by a shuffle.
 TRUSTED = REJECTED = 1_000_000
 BLOCK = "block long, doc_id array<long>, lang array<string>, h1 array<long>, h2 array<long>, sizes array<long>, data binary, keys binary"
@@ -64,7 +66,7 @@ def ngram_counts(texts: DataFrame) -> DataFrame:
                 key, c = np.unique(K.keys(*T.utf8(part.column(0))), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(c)], ["key", "c"])
 
-    return texts.select("text").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    return texts.select("text").mapInArrow(returning(run), "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
 
 def _context(key: str = "key") -> Column:
@@ -100,20 +102,20 @@ def pack_blocks(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, size = TaskContext.get().partitionId() << 32, 0
         rows: list[pa.RecordBatch] = []
-        texts: list[bytes] = []
+        texts = bytearray()
         sizes: list[np.ndarray] = []
-        known: list[np.ndarray] = []
+        known, fresh = [np.zeros(0, np.int64)], 0
 
         def close() -> pa.RecordBatch:
-            nonlocal number, size
+            nonlocal number, size, texts, known, fresh
             joined = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
             lists = [pa.ListArray.from_arrays(pa.array([0, len(joined)], pa.int32()), joined.column(k)) for k in range(4)]
             lists.append(pa.ListArray.from_arrays(pa.array([0, len(joined)], pa.int32()), pa.array(np.concatenate(sizes))))
-            data = pa.Codec("zstd", compression_level=LEVEL).compress(b"".join(texts), asbytes=True)
+            data = pa.Codec("zstd", compression_level=LEVEL).compress(texts, asbytes=True)
             key = K.pack_keys(np.unique(np.concatenate(known)))
             out = pa.RecordBatch.from_arrays([pa.array([number]), *lists, pa.array([data], pa.binary()), pa.array([key], pa.binary())], names)
-            number, size = number + 1, 0
-            for x in (rows, texts, sizes, known):
+            number, size, texts, known, fresh = number + 1, 0, bytearray(), [np.zeros(0, np.int64)], 0
+            for x in (rows, sizes):
                 x.clear()
             return out
 
@@ -121,16 +123,19 @@ def pack_blocks(docs: DataFrame) -> DataFrame:
             for part in T.pieces(batch, "text", PIECE):
                 key, data, n = K.distinct(part.column(4))
                 rows.append(part.select([0, 1, 2, 3]))
-                texts.append(data.tobytes())
+                texts += data.data
                 sizes.append(n)
                 known.append(key)
+                fresh += len(key)
+                if fresh > max(MERGED, len(known[0])):  # most are known, so that the pieces' keys together would be many times the block's
+                    known, fresh = [np.unique(np.concatenate(known))], 0
                 size += len(data)
                 if size >= BLOCK_BYTES:
                     yield close()
         if rows:
             yield close()
 
-    return docs.mapInArrow(run, BLOCK)
+    return docs.mapInArrow(returning(run), BLOCK)
 
 
 def _asked(blocks: DataFrame) -> DataFrame:
@@ -142,7 +147,7 @@ def _asked(blocks: DataFrame) -> DataFrame:
                 key = K.unpack_keys(data.as_py())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), block)), pa.array(key)], ["block", "key"])
 
-    return blocks.select("block", "keys").mapInArrow(run, "block long, key long")
+    return blocks.select("block", "keys").mapInArrow(returning(run), "block long, key long")
 
 
 def ngram_bits(model: list[tuple[DataFrame, tuple[float, float, float]]], asked: DataFrame) -> DataFrame:
@@ -186,7 +191,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     blocks = bucketed(pack_blocks(_keyed(docs, F.col("text"))), "quality-blocks", "block")
     bits = ngram_bits(model, materialize(_asked(blocks).select("key").distinct(), "ngrams-asked"))
     costs = _asked(blocks).join(bits, "key").groupBy("block").agg(F.collect_list(F.struct("key", F.col("bits").cast("float"))).alias("costs"))
-    rows = blocks.drop("keys").join(costs, "block", "left").drop("block").mapInArrow(_scores, SCORED)
+    rows = blocks.drop("keys").join(costs, "block", "left").drop("block").mapInArrow(returning(_scores), SCORED)
     scored = materialize(rows, "scored")
     drop_intermediates(docs.sparkSession, mark, (scored,))
     return scored

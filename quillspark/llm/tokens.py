@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import _codec
 from . import _text as T
-from ._common import materialize, note_written, release, shared_dir, small, table
+from ._common import materialize, note_written, release, returning, shared_dir, small, table
 
 #: Ids after which a block is closed, at the end of a document.
 BLOCK_IDS = 1 << 21
@@ -196,7 +196,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) ->
             yield close()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(run, BLOCKS).write.parquet(path)
+    rows.mapInArrow(returning(run), BLOCKS).write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
@@ -224,7 +224,7 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
     inside = F.sum("n_ids").over(Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     offsets = blocks.select("part", "block", F.coalesce(inside, F.lit(0)).alias("inside")).join(parts, "part").select("part", "block", (F.col("base") + F.col("inside")).alias("before"))
     offsets = materialize(offsets, "token-offsets")
-    rows = blocks.select("part", "block", "data").mapInArrow(run, "part int, block int, doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    rows = blocks.select("part", "block", "data").mapInArrow(returning(run), "part int, block int, doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
     return rows.join(small(offsets), ["part", "block"]).select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 

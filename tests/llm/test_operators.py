@@ -6,6 +6,7 @@ import math
 import os
 import random
 import re
+import tracemalloc
 import zlib
 
 import duckdb
@@ -14,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm import _bm25, _codec, _hamming, _images, _kneser, chat, components, decontaminate, licenses, media, mixing, neardup, quality, registry, repeats, tokens, urls
+from quillspark.llm import _bm25, _codec, _common, _hamming, _images, _kneser, chat, components, decontaminate, licenses, media, mixing, neardup, quality, registry, repeats, tokens, urls
 from quillspark.llm import _text as T
 
 from .conftest import near, prose
@@ -518,6 +519,27 @@ def test_quality_of_odd_rows(spark, odd):
     assert quality.keep_good(dotted, labels).columns == dotted.columns
 
 
+def test_packing_holds_each_ngram_once(monkeypatch):
+    """Pieces of a block that share their n-grams: memory grows with the distinct ones; a worker returns its memory at the end of a task."""
+    ends, stub = [], type("", (), {"mapInArrow": lambda self, run, _: run})()
+    monkeypatch.setattr(_common, "give_back", lambda: ends.append(1))
+    monkeypatch.setattr(quality, "TaskContext", type("", (), {"get": lambda: type("", (), {"partitionId": lambda: 3})}))
+    text = np.random.default_rng(8).integers(97, 123, 500_000, np.uint8).tobytes().decode()
+    n = pa.array(range(24))
+    rows = pa.RecordBatch.from_arrays([n, pa.array(["en"] * 24), n, n, pa.array([text] * 24)], ["doc_id", "lang", "h1", "h2", "text"])
+    run = quality.pack_blocks(stub)
+    tracemalloc.start()
+    try:
+        blocks = list(run(iter([rows])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(blocks) == 1 and ends == [1] and peak < 120e6
+    block = blocks[0].to_pylist()[0]
+    assert block["doc_id"] == list(range(24)) and block["sizes"] == [500_000] * 24 and pa.decompress(block["data"], 12_000_000, codec="zstd", asbytes=True) == text.encode() * 24
+    assert (_kneser.unpack_keys(block["keys"]) == np.unique(_kneser.distinct(pa.array([text]))[0])).all()
+
+
 def test_ngram_keys_of_texts():
     texts = pa.array(["abé", None, "", "x" * 9])
     data, offsets = T.utf8(texts)
