@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import re
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -31,6 +32,11 @@ def _logits(word: str) -> tuple[float, float]:
     return int(digest[:8], 16) % 997 / 100, int(digest[8:16], 16) % 997 / 100
 
 
+@functools.lru_cache(maxsize=100_000)
+def _digest(word: bytes) -> bytes:
+    return hashlib.md5(word).digest()
+
+
 class HashScorer:
     """A deterministic stand-in for a model: ASCII words and single other characters with logits from their md5, in [CLS] and [SEP]."""
 
@@ -39,6 +45,53 @@ class HashScorer:
     def __call__(self, texts: list[str]) -> list[list[tuple[str, int, int, float, float]]]:
         return [[("[CLS]", 0, 0, 1.0, 0.0), *((m.group(), m.start(), m.end(), *_logits(m.group())) for m in self.words.finditer(t)), ("[SEP]", 0, 0, 1.0, 0.0)] for t in texts]
 
+    def columns(self, texts: list[str]) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The same as arrays: tokens of each text, and for all of them token, start, end and the logits.
+
+        The tokens' bytes are the texts' own without the blanks, so no token is made by itself; each distinct one is hashed once.
+        """
+        raw = "".join([f"[CLS]{t}[SEP]" for t in texts]).encode()
+        kind, data = np.frombuffer(raw.translate(_KINDS), np.uint8), raw.translate(None, b" \t\n\r\f\v")
+        last = np.cumsum([len(t.encode()) + 10 for t in texts], dtype=np.int64)
+        first = np.append(0, last)[:-1]
+        begins = (kind == 1) | (kind == 2)
+        begins[1:] &= (kind[1:] == 2) | (kind[:-1] != 1)
+        for mark in (first, last - 5):
+            for k in range(1, 5):
+                begins[mark + k] = False
+        place = np.flatnonzero(begins)
+        offsets = np.append(np.flatnonzero(begins[kind > 0]), len(data))
+        token = pa.StringArray.from_buffers(len(place), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data))
+        until = np.searchsorted(place, last)
+        counts = np.diff(until, prepend=0)
+        rest = np.cumsum(kind == 3, dtype=np.int32) if len(data) and kind.max() == 3 else np.zeros(len(kind), np.int32)
+        start = place - rest[place]
+        start -= np.repeat(start[until - counts] + 5, counts)
+        end = start + np.where(kind[place] == 1, np.diff(offsets), 1)
+        known = token.dictionary_encode()
+        _, ends, words = known.dictionary.buffers()
+        ends, words = np.frombuffer(ends, np.int32)[: len(known.dictionary) + 1].tolist(), words.to_pybytes() if words else b""
+        digests = b"".join([_digest(words[a:b]) for a, b in itertools.pairwise(ends)])
+        logits = (np.frombuffer(digests, ">u4").reshape(-1, 4)[:, :2] % 997 / 100)[known.indices.to_numpy()]
+        for mark in (until - counts, until - 1):
+            start[mark] = end[mark] = 0
+            logits[mark] = 1, 0
+        return counts, token, start, end, logits[:, 0], logits[:, 1]
+
+
+#: By UTF-8 byte: 0 for a blank, 1 in a word, 2 the first of a token by itself, 3 its others.
+_KINDS = bytes(0 if chr(c) in " \t\n\r\f\v" else 1 if c < 128 and chr(c).isalnum() else 3 if 128 <= c < 192 else 2 for c in range(256))
+
+
+def scored_columns(scorer: Scorer, texts: list[str]) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of each text, and for all of them token, start, end and the logits; from a scorer's ``columns``, if it has them."""
+    if hasattr(scorer, "columns"):
+        return scorer.columns(texts)
+    scored = scorer(texts)
+    token, *numbers = zip(*[t for x in scored for t in x], strict=True) if any(scored) else [()] * 5
+    kinds = (np.int64, np.int64, float, float)
+    return np.array([len(x) for x in scored], np.int64), pa.array(token, pa.string()), *[np.array(n, k) for n, k in zip(numbers, kinds, strict=True)]
+
 
 def score_chunks(chunks: DataFrame, load: Callable[[], Scorer]) -> DataFrame:
     """(doc_id, chunk_id, start, text) -> one row per token with the chunk's start as chunk_start, and the chunk's length if it has one.
@@ -54,13 +107,11 @@ def score_chunks(chunks: DataFrame, load: Callable[[], Scorer]) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                scored = scorer([t or "" for t in part.column(len(extra) + 3).to_pylist()])
-                counts = np.array([len(x) for x in scored], np.int64)
-                owner = pa.array(np.repeat(np.arange(len(scored)), counts))
+                counts, *columns = scored_columns(scorer, [t or "" for t in part.column(len(extra) + 3).to_pylist()])
+                owner = pa.array(np.repeat(np.arange(len(counts)), counts))
                 place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-                columns = list(zip(*[t for x in scored for t in x], strict=True)) or [()] * 5
                 kinds = (pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.float64())
-                made = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+                made = [c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*[part.column(k).take(owner) for k in range(len(extra) + 3)], pa.array(place.astype(np.int32)), *made], names)
 
     kept = chunks.select(F.col("doc_id").cast("long"), F.col("chunk_id").cast("long"), F.col("start").cast("long"), *[F.col(c).cast("long") for c in extra], "text")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.lexicon import CHAIN_STEMS, LATIN_QUOTE, LATIN_STEMS, QUOTE
 from quillspark.functions.text import escape_html, normalize_arabic
-from quillspark.operators import annotations, boundaries, chunks, clean, records, report, scoring, segments
+from quillspark.operators import annotations, boundaries, chunks, clean, onepass, records, report, scoring, segments
 from quillspark.operators.slices import with_slices
 from quillspark.plans import lifecycles
 from quillspark.plans._read import spread, table
@@ -168,6 +168,10 @@ def _tokens(spark: SparkSession, d: str) -> DataFrame:
     return scoring.token_table(scoring.score_chunks(pieces, scoring.HashScorer))
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
+
+
 def _rounded(rows: DataFrame, *names: str) -> DataFrame:
     return rows.withColumns({n: F.round(n, 9) for n in names})
 
@@ -186,7 +190,7 @@ def boundary_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 def offset_accuracy(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(scoring.offset_accuracy(_tokens(spark, d), table(spark, d, "documents")), "accuracy")
+    return _rounded(onepass.offset_accuracy(_texts(spark, d), scoring.HashScorer), "accuracy")
 
 
 def boundary_positions(spark: SparkSession, d: str) -> DataFrame:

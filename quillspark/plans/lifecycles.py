@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from quillspark.operators import annotations, boundaries, chunks, clean, records, scoring, segments
 from quillspark.operators.slices import with_slices
 
+#: A cluster's text with so many characters before and after.
+CONTEXT = {"text_context": (40, 80)}
+
 
 def by_scorer(docs: DataFrame, load: Callable[[], scoring.Scorer], gap: int = 20) -> tuple[DataFrame, DataFrame]:
     """Raw (doc_id, text) -> (cleaned documents, boundary clusters with their context)."""
