@@ -178,7 +178,7 @@ def _rounded(rows: DataFrame, *names: str) -> DataFrame:
 
 def scored_tokens(spark: SparkSession, d: str) -> DataFrame:
     """Chunks through the stand-in scorer: tokens with absolute offsets, without the overlap's first ones."""
-    return _rounded(_tokens(spark, d).drop("length"), "prob")
+    return onepass.token_table(_texts(spark, d), scoring.HashScorer, 9)
 
 
 def inference_stats(spark: SparkSession, d: str) -> DataFrame:

@@ -11,6 +11,7 @@ from quillspark.plans import lifecycles, registry
 #: Queries whose tokens stay in one kernel, and whether sums by doc_id follow.
 ONE_PASS = {
     "offset_accuracy": False,
+    "scored_tokens": False,
 }
 
 
