@@ -186,7 +186,7 @@ def inference_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def boundary_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.boundary_tokens(_tokens(spark, d))
+    return onepass.boundary_tokens(_texts(spark, d), scoring.HashScorer)
 
 
 def offset_accuracy(spark: SparkSession, d: str) -> DataFrame:

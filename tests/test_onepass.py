@@ -12,6 +12,7 @@ from quillspark.plans import lifecycles, registry
 ONE_PASS = {
     "offset_accuracy": False,
     "scored_tokens": False,
+    "boundary_tokens": False,
 }
 
 
