@@ -194,7 +194,7 @@ def offset_accuracy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def boundary_positions(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(boundaries.boundary_positions(_tokens(spark, d)), "prob")
+    return onepass.boundary_positions(_texts(spark, d), scoring.HashScorer, 9)
 
 
 def _clusters(spark: SparkSession, d: str) -> DataFrame:

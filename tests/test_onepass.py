@@ -13,6 +13,7 @@ ONE_PASS = {
     "offset_accuracy": False,
     "scored_tokens": False,
     "boundary_tokens": False,
+    "boundary_positions": False,
 }
 
 
