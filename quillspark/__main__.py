@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.operators import boundaries, chunks, clean, clients, compare, records, report, scoring, segments
+from quillspark.operators import boundaries, clean, clients, compare, onepass, records, report, scoring, segments
 from quillspark.plans import lifecycles
 from quillspark.sources import files
 
@@ -61,8 +61,7 @@ def _parser() -> argparse.ArgumentParser:
 
 
 def _clusters(texts: DataFrame, scorer: str, gap: int) -> DataFrame:
-    tokens = scoring.token_table(scoring.score_chunks(chunks.fixed_chunks(texts), _named(scorer)))
-    return boundaries.with_context(boundaries.gap_clusters(boundaries.boundary_positions(tokens), gap), texts)
+    return onepass.gap_clusters(texts, _named(scorer), gap, lifecycles.CONTEXT)
 
 
 def _pipeline(spark: SparkSession, texts: DataFrame, args: argparse.Namespace) -> None:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.operators import annotations, boundaries, chunks, clean, records, scoring, segments
+from quillspark.operators import annotations, chunks, clean, onepass, records, scoring, segments
 from quillspark.operators.slices import with_slices
 
 #: A cluster's text with so many characters before and after.
@@ -18,9 +18,7 @@ CONTEXT = {"text_context": (40, 80)}
 def by_scorer(docs: DataFrame, load: Callable[[], scoring.Scorer], gap: int = 20) -> tuple[DataFrame, DataFrame]:
     """Raw (doc_id, text) -> (cleaned documents, boundary clusters with their context)."""
     cleaned = clean.clean_documents(docs.select("doc_id", "text"))
-    tokens = scoring.token_table(scoring.score_chunks(chunks.fixed_chunks(cleaned), load))
-    clusters = boundaries.gap_clusters(boundaries.boundary_positions(tokens), gap)
-    return cleaned, boundaries.with_context(clusters, cleaned)
+    return cleaned, onepass.gap_clusters(cleaned, load, gap, CONTEXT)
 
 
 def by_rules(docs: DataFrame, segmenter: segments.Segmenter | None = None, **header) -> tuple[DataFrame, DataFrame]:

@@ -14,6 +14,7 @@ ONE_PASS = {
     "scored_tokens": False,
     "boundary_tokens": False,
     "boundary_positions": False,
+    "scorer_lifecycle": False,
 }
 
 
