@@ -56,7 +56,12 @@ def record_totals(records: DataFrame) -> DataFrame:
 def narrative_units(spans: DataFrame, docs: DataFrame, unit_id: str = "boundary_id", start: str = "char_start", end: str = "char_end", **header) -> DataFrame:
     """Spans of boundaries or segments -> units with the header found at the start of the span's own text."""
     rows = spans.select("doc_id", F.col(unit_id).alias("unit_id"), F.col(start).alias("char_start"), F.col(end).alias("char_end"))
-    rows = with_slices(rows, docs, {"span": (F.col("char_start"), F.col("char_end"))}).withColumn("header_text", header_prefix(F.col("span"), **header))
+    return units_of_spans(with_slices(rows, docs, {"span": (F.col("char_start"), F.col("char_end"))}), **header)
+
+
+def units_of_spans(rows: DataFrame, **header) -> DataFrame:
+    """(doc_id, unit_id, char_start, char_end, span) -> units; ``span`` is the text from char_start to char_end."""
+    rows = rows.withColumn("header_text", header_prefix(F.col("span"), **header))
     return rows.select("doc_id", "unit_id", F.lit("record").alias("type"), "char_start", "char_end", F.col("header_text").isNotNull().alias("has_header"), "header_text", F.length("span").cast("long").alias("text_length"))
 
 

@@ -211,7 +211,8 @@ def clusters_in_context(spark: SparkSession, d: str) -> DataFrame:
 
 def cluster_units(spark: SparkSession, d: str) -> DataFrame:
     """Units from the scorer's clusters, with the headers in their text."""
-    return records.unit_source(_clusters(spark, d), None, table(spark, d, "documents"), **VERBS)
+    rows = onepass.gap_clusters(_texts(spark, d), scoring.HashScorer, 5, {"span": (0, 0)})
+    return records.units_of_spans(rows.withColumnRenamed("boundary_id", "unit_id"), **VERBS)
 
 
 def mid_word(spark: SparkSession, d: str) -> DataFrame:

@@ -15,6 +15,7 @@ ONE_PASS = {
     "boundary_tokens": False,
     "boundary_positions": False,
     "scorer_lifecycle": False,
+    "cluster_units": False,
 }
 
 
