@@ -206,7 +206,7 @@ def _shown(clusters: DataFrame) -> DataFrame:
 
 
 def clusters_in_context(spark: SparkSession, d: str) -> DataFrame:
-    return _shown(boundaries.with_context(_clusters(spark, d), table(spark, d, "documents")))
+    return _shown(onepass.gap_clusters(_texts(spark, d), scoring.HashScorer, 5, lifecycles.CONTEXT))
 
 
 def cluster_units(spark: SparkSession, d: str) -> DataFrame:

@@ -16,6 +16,7 @@ ONE_PASS = {
     "boundary_positions": False,
     "scorer_lifecycle": False,
     "cluster_units": False,
+    "clusters_in_context": False,
 }
 
 
