@@ -163,11 +163,6 @@ def unit_summary(spark: SparkSession, d: str) -> DataFrame:
     return records.unit_summary(narrative_units(spark, d))
 
 
-def _tokens(spark: SparkSession, d: str) -> DataFrame:
-    pieces = chunks.fixed_chunks(spread(table(spark, d, "documents").select("doc_id", "text")))
-    return scoring.token_table(scoring.score_chunks(pieces, scoring.HashScorer))
-
-
 def _texts(spark: SparkSession, d: str) -> DataFrame:
     return spread(table(spark, d, "documents").select("doc_id", "text"))
 
@@ -182,7 +177,7 @@ def scored_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 def inference_stats(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(scoring.inference_stats(_tokens(spark, d)), "boundary_percentage", "mean_prob")
+    return _rounded(onepass.inference_stats(_texts(spark, d), scoring.HashScorer), "boundary_percentage", "mean_prob")
 
 
 def boundary_tokens(spark: SparkSession, d: str) -> DataFrame:
@@ -197,10 +192,6 @@ def boundary_positions(spark: SparkSession, d: str) -> DataFrame:
     return onepass.boundary_positions(_texts(spark, d), scoring.HashScorer, 9)
 
 
-def _clusters(spark: SparkSession, d: str) -> DataFrame:
-    return boundaries.gap_clusters(boundaries.boundary_positions(_tokens(spark, d)), 5)
-
-
 def _shown(clusters: DataFrame) -> DataFrame:
     return _rounded(clusters.withColumn("tokens", F.array_join("tokens", " ")), "max_prob")
 

@@ -17,6 +17,7 @@ ONE_PASS = {
     "scorer_lifecycle": False,
     "cluster_units": False,
     "clusters_in_context": False,
+    "inference_stats": True,
 }
 
 
